@@ -1,3 +1,73 @@
-STAGES = []
+"""The corpus pipeline: quality rules, line dedup, near duplicates, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all
+but the last return the columns of ``docs``. ``run`` applies them to the table ``documents``, writing each
+stage's rows to the shared folder and reading them again, so a lost executor costs a part of one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelflow.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
+from reelflow.llm.common import fresh, stage
+
+
+def _same_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    counts, kept = fresh(docs, "quality_counts"), fresh(docs, "kept")
+    rated = stage(quality_rules.rate(docs, into=counts), "rated")
+    cutoffs = quality_rules.calibrate(rated, spark.read.parquet(f"{sf_dir}/labels.parquet"), counts=counts)
+    return _same_columns(quality_rules.decide(rated, cutoffs, counts=counts, into=kept).where(F.col(kept)), docs)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that many share; ``n_chars`` follows the text where lines went."""
+    out = line_dedup.drop_shared_lines(docs)
+    counts = out.columns[-1]
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col(f"{counts}.n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return _same_columns(out, docs)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage worth a twentieth of their words."""
+    return _same_columns(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with what the mix takes of each: size, source_size, target, taken."""
+    out = mixing.mix(docs)
+    m = F.col(out.columns[-1])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[m[k].alias(k) for k in ("size", "source_size", "target", "taken")])
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("line dedup", drop_lines),
+    ("near duplicates", one_of_near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+]
+
+#: The near-duplicate stage needs exact shingle sets and reachability over all texts, for which SQL is too slow
+#: on whole tables; tests hold run() against a brute-force version of all five stages.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

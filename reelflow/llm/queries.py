@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelflow.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules, url_filter
+from reelflow.llm import decontaminate, licenses, line_dedup, mixing, ngram_join, pii, quality_rules, secrets, url_filter, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,4 +45,37 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op4_mixing, op5_url_filter, op7_decontamination, op8_line_dedup, op9_ngram_join)}
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drill: the second replica has a byte changed in each record whose id's MD5 starts with two zeros."""
+    pages = _table(spark, sf_dir, "pages")
+    damage = F.md5(F.col("page_id").cast("string")).startswith("00")
+    return warc_fixity.audited(warc_fixity.leaves(pages), warc_fixity.leaves(pages, damage))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_personal_data,
+        op3_secrets,
+        op4_mixing,
+        op5_url_filter,
+        op6_licenses,
+        op7_decontamination,
+        op8_line_dedup,
+        op9_ngram_join,
+        op10_warc_fixity,
+    )
+}
