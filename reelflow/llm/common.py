@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,7 +55,8 @@ def _clean() -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has been staged: it does so once the JVM has dropped their handles."""
+    """Let Spark delete the shuffle files of what has been staged: it does so once Python and the JVM have dropped their handles."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

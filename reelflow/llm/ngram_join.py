@@ -96,43 +96,32 @@ def coarse_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").where("text is not null").mapInArrow(run, "sig long, cid long")
 
 
-def _unpack(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cids, hashes, sizes) of rows (cid, set)."""
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column(1).to_pylist()]
-    return rows.column(0).to_numpy(), np.concatenate(sets), np.array([len(x) for x in sets], np.int64)
-
-
-def fine_rows(sets: DataFrame) -> DataFrame:
-    """(sig, cid) of (cid, set): all parts of the finer partition."""
+def fine_rows(texts: DataFrame) -> DataFrame:
+    """(sig, cid) of (cid, text): all parts of the finer partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                cids, h, sizes = _unpack(batch.slice(at, 256))
-                for sig, own, _ in partenum.fine_signatures(h, sizes):
-                    yield _batch(sig=sig.view(np.int64), cid=cids[own])
+        for _, h, sizes, cids in _sets(batches):
+            for sig, own, _ in partenum.fine_signatures(h, sizes):
+                yield _batch(sig=sig.view(np.int64), cid=cids[own])
 
-    return sets.mapInArrow(run, "sig long, cid long")
+    return texts.select("cid", "text").mapInArrow(run, "sig long, cid long")
 
 
-def poor_rows(sets: DataFrame) -> DataFrame:
-    """(cid) of (cid, set, hot): those that have too few fine parts outside ``hot`` in a band."""
+def poor_rows(texts: DataFrame) -> DataFrame:
+    """(cid) of (cid, text, hot): those that have too few fine parts outside ``hot`` in a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                cids, h, sizes = _unpack(rows)
-                lists = [x or [] for x in rows.column(2).to_pylist()]
-                bad = np.zeros(len(cids), bool)
-                for sig, own, need in partenum.fine_signatures(h, sizes):
-                    ends = np.cumsum(np.bincount(own, minlength=len(cids)))
-                    for i, hot in enumerate(lists):
-                        mine = sig[ends[i - 1] if i else 0 : ends[i]].view(np.int64)
-                        bad[i] |= len(mine) - np.isin(mine, np.array(hot, np.int64)).sum() < need[i]
-                yield _batch(cid=cids[bad])
+        for rows, h, sizes, cids in _sets(batches):
+            lists = [np.array(x or [], np.int64) for x in rows.column(2).to_pylist()]
+            bad = np.zeros(len(cids), bool)
+            for sig, own, need in partenum.fine_signatures(h, sizes):
+                ends = np.cumsum(np.bincount(own, minlength=len(cids)))
+                for i, hot in enumerate(lists):
+                    mine = sig[ends[i - 1] if i else 0 : ends[i]].view(np.int64)
+                    bad[i] |= len(mine) - np.isin(mine, hot).sum() < need[i]
+            yield _batch(cid=cids[bad])
 
-    return sets.mapInArrow(run, "cid long")
+    return texts.select("cid", "text", "hot").mapInArrow(run, "cid long")
 
 
 def _pairs_within(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +194,10 @@ def sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 3/4 at least."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of 3/4 at least, staged."""
+    pairs = stage(pairs, "sifted")
+    sets = stage(sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("cid"))), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,21 +212,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 yield _batch(a=rows.column(0).to_numpy()[ok], b=rows.column(1).to_numpy()[ok])
 
     side = lambda k: sets.select(F.col("cid").alias(k), F.col("set").alias(f"set_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    return stage(found, "edges")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, set) of the wanted classes, each from one row of ``docs``."""
+def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, text) of the wanted classes (cid), each from one row of ``docs`` (or its repeats)."""
+    reps = classes.join(wanted, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.th").alias("rep_th"))
+    reps = small(stage(reps, "reps"), FEW_IDS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
+    return rows.join(reps, (rows["th"] == reps["rep_th"]) & rows["doc_id"].eqNullSafe(reps["rep_doc"])).select("cid", "text")
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, set) of the wanted classes from (cid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, h, sizes, cids in _sets(batches):
             ends = np.cumsum(sizes)
             yield _batch(cid=cids, set=pa.array([h[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()))
 
-    reps = small(classes.join(wanted, "cid", "left_semi").select(F.col("rep.doc_id").alias("rep_doc"), F.col("rep.th").alias("rep_th")), FEW_IDS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
-    rows = rows.join(reps, (rows["th"] == reps["rep_th"]) & rows["doc_id"].eqNullSafe(reps["rep_doc"]), "left_semi")
-    return rows.select("text").mapInArrow(run, "cid long, set binary").groupBy("cid").agg(F.any_value("set").alias("set"))
+    ids = small(stage(wanted.distinct(), "wanted"), FEW_IDS)
+    return texts.join(ids, "cid", "left_semi").select("cid", "text").mapInArrow(run, "cid long, set binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,7 +264,7 @@ def _with_roots(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
 
 
-def within_hot(members: DataFrame, classes: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
+def within_hot(members: DataFrame, classes: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the classes (sig, cid) of hot buckets, as many as are needed for their components.
 
     ``edges`` are the links known so far.
@@ -291,14 +289,14 @@ def within_hot(members: DataFrame, classes: DataFrame, edges: DataFrame, sets: D
     first = members.groupBy("sig").agg(F.min("cid").alias("a"), F.count("*").alias("size"))
     shared = members.join(first, "sig").where("a < cid").groupBy(F.col("cid").alias("b"), "a").count()
     best = shared.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
-    edges = edges.unionByName(verified(best, sets))
+    edges = edges.unionByName(verified(best, texts))
     rows = stage(_with_roots(members, "cid", edges), "rooted")
     mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     blocked = rows.join(mixed, "sig").join(classes.select("cid", "n", "sketch"), "cid").withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     blocked = blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = blocked.select("sig", "cid", "root", "n", "sketch", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
     pairs = blocked.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    return edges.unionByName(verified(pairs, sets))
+    return edges.unionByName(verified(pairs, texts))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -310,16 +308,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     release(spark)
     hot = coarse.where("b is null").select("sig", F.col("a").alias("cid"))
     pairs = stage(sifted(coarse.where("b is not null").select("a", "b").distinct(), classes), "pairs")
-    crowd = hot.select("cid").distinct()
-    sets = stage(sets_of(docs, classes, crowd.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("cid"))).distinct()), "sets")
-    crowd_sets = sets.join(crowd, "cid", "left_semi").select("cid", "set")
-    fine = stage(bucketed(fine_rows(crowd_sets)), "fine")
+    crowd = stage(hot.select("cid").distinct(), "crowd")
+    wanted = crowd.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("cid"))).distinct()
+    texts = stage(texts_of(docs, classes, wanted), "texts")
+    in_crowd = texts.join(small(crowd, FEW_IDS), "cid", "left_semi")
+    fine = stage(bucketed(fine_rows(in_crowd)), "fine")
     release(spark)
-    more = stage(sifted(fine.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), classes), "more")
-    edges = stage(verified(pairs.unionByName(more), sets), "edges")
+    more = sifted(fine.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), classes)
+    edges = verified(pairs.unionByName(more), texts)
     hot_parts = fine.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.collect_list("sig").alias("hot"))
-    poor = poor_rows(crowd_sets.join(hot_parts, "cid", "left").select("cid", "set", "hot"))
-    edges = stage(within_hot(hot.join(poor, "cid", "left_semi"), classes, edges, sets), "edges")
+    poor = poor_rows(texts.join(hot_parts, "cid"))
+    edges = within_hot(hot.join(stage(poor.distinct(), "poor"), "cid", "left_semi"), classes, edges, texts)
+    release(spark)
     named = _with_roots(classes.select("cid", "doc"), "cid", edges)
     names = named.groupBy("root").agg(F.min("doc").alias("component"))
     by_class = named.join(names, "root").select("cid", "component")
