@@ -132,6 +132,13 @@ def q08b_sequential_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.sequential_index(views.packets(spark, sf_dir))
 
 
+@query(PACKETS_SQL + _SOUGHT + """ SELECT video_id, frame_idx, CASE WHEN video_id % 4 <> 0 THEN safe_pts ELSE 0 END AS start, CASE WHEN video_id % 4 <> 0 THEN 'seek' ELSE 'reopen' END AS status FROM sought""")
+def q08c_seek_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.packets(spark, sf_dir)
+    streams = p.select("video_id", (F.col("video_id") % 4 != 0).alias("seekable")).distinct()
+    return index.seek_start(index.safe_seek(p), streams)
+
+
 @query("""SELECT p_partkey AS video_id, i AS frame_idx, i * 1001 * 90000 // 30000 AS pts FROM part, generate_series(0, p_size - 1) AS g(i)""")
 def q19_synthetic_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("video_id"), F.col("p_size").cast("long").alias("n_frames"), F.lit(30000).cast("long").alias("fps_num"), F.lit(1001).cast("long").alias("fps_den"))
@@ -411,6 +418,16 @@ def q37_status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), code.alias("code"), encoding.status_text(code, F.lit("encode")).alias("text"))
 
 
+_JPEG = "[" + ", ".join(f"'{x}'" for x in encoding.JPEG_STATUS) + "]"
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS id, p_partkey % 13 AS code FROM part)
+SELECT id, code, coalesce({_JPEG}[code + 1], 'Unknown error ' || code) AS text FROM s""")
+def q37c_jpeg_status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.col("p_partkey") % 13
+    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), code.alias("code"), encoding.jpeg_status_text(code).alias("text"))
+
+
 _PATHS = ("a.MP4", "b/c.h264", "d.mkv", "plain", "x.y.webm", "e.txt")
 
 

@@ -16,6 +16,8 @@ CONTAINER_SUFFIXES = ("avi", "mkv", "mov", "mp4", "webm")
 #: Status codes of the hardware encoder's API, from 0 on. Fixed values.
 ENCODER_STATUS = ("NV_ENC_SUCCESS", "NV_ENC_ERR_NO_ENCODE_DEVICE", "NV_ENC_ERR_UNSUPPORTED_DEVICE", "NV_ENC_ERR_INVALID_ENCODERDEVICE", "NV_ENC_ERR_INVALID_DEVICE", "NV_ENC_ERR_DEVICE_NOT_EXIST", "NV_ENC_ERR_INVALID_PTR", "NV_ENC_ERR_INVALID_EVENT", "NV_ENC_ERR_INVALID_PARAM", "NV_ENC_ERR_INVALID_CALL", "NV_ENC_ERR_OUT_OF_MEMORY", "NV_ENC_ERR_ENCODER_NOT_INITIALIZED", "NV_ENC_ERR_UNSUPPORTED_PARAM", "NV_ENC_ERR_LOCK_BUSY", "NV_ENC_ERR_NOT_ENOUGH_BUFFER", "NV_ENC_ERR_INVALID_VERSION", "NV_ENC_ERR_MAP_FAILED", "NV_ENC_ERR_NEED_MORE_INPUT", "NV_ENC_ERR_ENCODER_BUSY", "NV_ENC_ERR_EVENT_NOT_REGISTERED", "NV_ENC_ERR_GENERIC", "NV_ENC_ERR_INCOMPATIBLE_CLIENT_KEY", "NV_ENC_ERR_UNIMPLEMENTED", "NV_ENC_ERR_RESOURCE_REGISTER_FAILED", "NV_ENC_ERR_RESOURCE_NOT_REGISTERED", "NV_ENC_ERR_RESOURCE_NOT_MAPPED")
 STATUS_HINTS = {1: " (no NVIDIA GPU with NVENC support found)", 8: " (check resolution, frame rate, or encoding parameters)", 10: " (GPU memory exhausted)", 15: " (driver/SDK version mismatch)"}
+#: Status codes of the hardware JPEG decoder, from 0 on. Fixed values.
+JPEG_STATUS = ("Success", "Not initialized", "Invalid parameter", "Bad JPEG", "JPEG not supported", "Allocator failure", "Execution failed", "Architecture mismatch", "Internal error", "Implementation not supported", "Incomplete bitstream")
 MAX_HARDWARE_SIZE = 4096
 
 
@@ -111,6 +113,16 @@ def status_text(code: Column, context: Column | None = None) -> Column:
     """An encoder status as text, with a hint for common ones."""
     name = F.coalesce(_lookup(dict(enumerate(ENCODER_STATUS)), code.cast("int")), F.concat(F.lit("UNKNOWN_ERROR_"), code.cast("string")))
     text = F.concat(name, F.coalesce(_lookup(STATUS_HINTS, code.cast("int")), F.lit("")))
+    return _in_context(text, context)
+
+
+def jpeg_status_text(code: Column, context: Column | None = None) -> Column:
+    """A JPEG decoder status as text."""
+    text = F.coalesce(_lookup(dict(enumerate(JPEG_STATUS)), code.cast("int")), F.concat(F.lit("Unknown error "), code.cast("string")))
+    return _in_context(text, context)
+
+
+def _in_context(text: Column, context: Column | None) -> Column:
     if context is None:
         return text
     return F.when(F.coalesce(context, F.lit("")) == "", text).otherwise(F.concat(context, F.lit(": "), text))

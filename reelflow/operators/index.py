@@ -65,6 +65,15 @@ def seek_params(sought: DataFrame) -> DataFrame:
     return sought.select("video_id", "frame_idx", "safe_pts", (F.col("pts") - F.col("safe_pts")).alias("skip"))
 
 
+def seek_start(sought: DataFrame, streams: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, start, status) by (video_id, seekable): the safe point, or 0, from where one reads on.
+
+    A video that cannot be sought in is opened anew, which reaches time 0 only.
+    """
+    rows = sought.join(streams.select("video_id", "seekable"), "video_id")
+    return rows.select("video_id", "frame_idx", F.when(F.col("seekable"), F.col("safe_pts")).otherwise(F.lit(0)).cast("long").alias("start"), F.when(F.col("seekable"), "seek").otherwise("reopen").alias("status"))
+
+
 def decode_cost(sought: DataFrame) -> DataFrame:
     """(video_id, frame_idx, cost): frames to read from the safe point to the target, the target included."""
     start = sought.select("video_id", F.col("frame_idx").alias("start_idx"), F.col("pts").alias("safe_pts"))
