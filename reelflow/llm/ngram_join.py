@@ -5,13 +5,13 @@
 2. Each class emits the signatures of ``partenum``: similar classes share one. Signatures are
    shuffled and sorted; a bucket of up to ``BUCKET`` classes yields its pairs.
 3. A larger bucket is hot: a passage or line that many texts share, or a large group of near
-   copies. Its classes emit all parts of a finer partition. What they have in common is hot
-   again, what is their own is not: a class with enough parts that are not hot has met all its
-   partners in small buckets.
-4. The few classes that consist of hot parts are compared within their hot buckets of step 2: first
-   each with the class with which it shares most, then, between the components so far,
-   by sketch, in blocks of ``BLOCK`` rows that are spread over tasks. No pair is left out.
-5. Pairs that pass the sketches (lower bounds of the difference) are verified on the sets.
+   copies. Its classes emit their elements of half the hash domain: a bucket of up to ``FINE_BUCKET``
+   yields its pairs, others are hot again. A class with more than a quarter of its elements
+   emitted and not hot has met all its partners in small buckets. The others emit all their elements.
+4. The few classes that even so are nearly all hot are compared within their hot buckets of step 2: first
+   each with the class with which it shares most, in ``ROUNDS`` orders; then, between the components
+   so far, by parity bits, in blocks of ``BLOCK`` rows that are spread over tasks. No pair is left out.
+5. Pairs that pass sketches or parities (lower bounds of the difference) are verified on the sets.
 6. Components come from alternating large and small stars over the verified links.
 
 Nothing of the size of the corpus reaches the driver. A set is held by 64-bit hashes.
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,13 @@ from reelflow.llm import partenum
 from reelflow.llm.common import fresh, release, small, stage, text_slices
 from reelflow.llm.shingles import mix, shingle_sets
 
-#: Classes of a bucket up to which all its pairs are looked at.
-BUCKET = 16
+#: Classes of a bucket up to which all its pairs are looked at: few at first, as what many texts share is
+#: told apart better by the finer partition.
+BUCKET, FINE_BUCKET = 4, 16
+#: Half the hash domain.
+HALF = np.uint64(1 << 63)
+#: Rounds in which each class of hot buckets is compared with one other, before all are compared.
+ROUNDS = 3
 #: Rows that a task holds of each side when it compares within a hot bucket.
 BLOCK = 2048
 #: Ids that are broadcast at most (16 bytes each); beyond it, the join is left to Spark.
@@ -65,16 +71,17 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, n, cid, sketch) per row: hash of the text, size, class and sketch of its set."""
+    """(doc_id, th, n, low, cid, sketch) per row: hash of the text, size, elements in the lower half, class and sketch of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, h, sizes, cids in _sets(batches):
             ends = np.cumsum(sizes)
             sketches = [partenum.sketch(h[e - n : e], int(n)) if n else None for e, n in zip(ends, sizes, strict=True)]
-            yield _batch(doc_id=rows.column(0), th=rows.column(1), n=sizes, cid=pa.array(cids, mask=sizes == 0), sketch=pa.array(sketches, pa.binary()))
+            low = np.diff(np.concatenate(([0], np.cumsum(h < HALF)))[np.concatenate(([0], ends))])
+            yield _batch(doc_id=rows.column(0), th=rows.column(1), n=sizes, low=low, cid=pa.array(cids, mask=sizes == 0), sketch=pa.array(sketches, pa.binary()))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, n long, cid long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, th long, n long, low long, cid long, sketch binary")
 
 
 def coarse_rows(docs: DataFrame) -> DataFrame:
@@ -96,32 +103,23 @@ def coarse_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").where("text is not null").mapInArrow(run, "sig long, cid long")
 
 
-def fine_rows(texts: DataFrame) -> DataFrame:
-    """(sig, cid) of (cid, text): all parts of the finer partition."""
+def fine_rows(texts: DataFrame, half: bool) -> DataFrame:
+    """(sig, cid) of (cid, text): the set's elements, those of the lower half of the domain alone if ``half``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, h, sizes, cids in _sets(batches):
-            for sig, own, _ in partenum.fine_signatures(h, sizes):
-                yield _batch(sig=sig.view(np.int64), cid=cids[own])
+            own = np.repeat(cids, sizes)
+            low = h < HALF if half else np.ones(len(h), bool)
+            yield _batch(sig=h[low].view(np.int64), cid=own[low])
 
     return texts.select("cid", "text").mapInArrow(run, "sig long, cid long")
 
 
-def poor_rows(texts: DataFrame) -> DataFrame:
-    """(cid) of (cid, text, hot): those that have too few fine parts outside ``hot`` in a band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, h, sizes, cids in _sets(batches):
-            lists = [np.array(x or [], np.int64) for x in rows.column(2).to_pylist()]
-            bad = np.zeros(len(cids), bool)
-            for sig, own, need in partenum.fine_signatures(h, sizes):
-                ends = np.cumsum(np.bincount(own, minlength=len(cids)))
-                for i, hot in enumerate(lists):
-                    mine = sig[ends[i - 1] if i else 0 : ends[i]].view(np.int64)
-                    bad[i] |= len(mine) - np.isin(mine, hot).sum() < need[i]
-            yield _batch(cid=cids[bad])
-
-    return texts.select("cid", "text", "hot").mapInArrow(run, "cid long")
+def poor_classes(classes: DataFrame, members: DataFrame, fine: DataFrame, emitted: str) -> DataFrame:
+    """(cid) of ``members`` with no more than a quarter of their elements emitted and not hot in ``fine``."""
+    hot = fine.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("hot"))
+    rows = classes.join(members, "cid", "left_semi").join(hot, "cid", "left")
+    return rows.where(F.col(emitted) - F.coalesce("hot", F.lit(0)) <= F.floor(F.col("n") / 4)).select("cid")
 
 
 def _pairs_within(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,38 +262,53 @@ def _with_roots(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
 
 
-def within_hot(members: DataFrame, classes: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
+def parities_of(texts: DataFrame) -> DataFrame:
+    """(cid, n, bits) of (cid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, sizes, cids in _sets(batches):
+            ends = np.cumsum(sizes)
+            yield _batch(cid=cids, n=sizes, bits=pa.array([partenum.parity(h[e - n : e], int(n)) for e, n in zip(ends, sizes, strict=True)], pa.binary()))
+
+    return texts.select("cid", "text").mapInArrow(run, "cid long, n long, bits binary").groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+
+
+def _between(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of two blocks of a bucket that are of different components and may match by their parities."""
+    left, right = pdf[pdf["at"] == pdf["i"]], pdf[pdf["at"] == pdf["j"]]
+    words = min(map(len, pdf["bits"])) // 8
+    y = np.stack([partenum.fold_parity(x, words) for x in right["bits"]])
+    n, root, cid = right["n"].to_numpy(), right["root"].to_numpy(), right["cid"].to_numpy()
+    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    a, b = [], []
+    for x, k, r, c in zip(left["bits"], left["n"], left["root"], left["cid"], strict=True):
+        on = np.flatnonzero((root != r) & (4 * np.minimum(n, k) >= 3 * np.maximum(n, k)) & ((cid > c) | (not same)))
+        if len(on):
+            apart = np.bitwise_count(y[on] ^ partenum.fold_parity(x, words)).sum(axis=1, dtype=np.int64)
+            hit = cid[on[7 * apart <= n[on] + k]]
+            a.append(np.minimum(hit, c))
+            b.append(np.maximum(hit, c))
+    return pd.DataFrame({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
+
+
+def within_hot(members: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the classes (sig, cid) of hot buckets, as many as are needed for their components.
 
-    ``edges`` are the links known so far.
+    ``edges`` are the links known so far and are part of the result; ``texts`` has the classes' (cid, text).
     """
-
-    def compare(pdf):
-        import pandas as pd
-
-        left, right = pdf[pdf["at"] == pdf["i"]], pdf[pdf["at"] == pdf["j"]]
-        to = min(len(x) for x in pdf["sketch"])
-        cells = lambda side: np.stack([partenum.fold(np.frombuffer(x, np.uint8), to) for x in side["sketch"]])
-        y, n, root, cid = cells(right), right["n"].to_numpy(), right["root"].to_numpy(), right["cid"].to_numpy()
-        full = np.array([max(x) == 255 for x in right["sketch"]])
-        got = []
-        for x, k, r, c, sk in zip(cells(left), left["n"], left["root"], left["cid"], left["sketch"], strict=True):
-            ok = (root != r) & (cid > c if left["at"].iloc[0] == right["at"].iloc[0] else True) & (4 * np.minimum(n, k) >= 3 * np.maximum(n, k))
-            ok &= full | (max(sk) == 255) | (7 * np.abs(y - x).sum(axis=1) <= n + k)
-            got += [(min(c, d), max(c, d)) for d in cid[ok]]
-        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
-
-    members = stage(members, "poor")
-    first = members.groupBy("sig").agg(F.min("cid").alias("a"), F.count("*").alias("size"))
-    shared = members.join(first, "sig").where("a < cid").groupBy(F.col("cid").alias("b"), "a").count()
-    best = shared.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
-    edges = edges.unionByName(verified(best, texts))
+    for k in range(ROUNDS):
+        first = members.groupBy("sig").agg(F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias("a"))
+        shared = members.join(first, "sig").where("a <> cid").groupBy(F.col("cid").alias("b"), "a").count()
+        best = shared.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+        pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        edges = edges.unionByName(verified(pairs.join(edges, ["a", "b"], "left_anti"), texts))
     rows = stage(_with_roots(members, "cid", edges), "rooted")
     mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    blocked = rows.join(mixed, "sig").join(classes.select("cid", "n", "sketch"), "cid").withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    bits = stage(parities_of(texts.join(members.select("cid").distinct(), "cid", "left_semi")), "parities")
+    blocked = rows.join(mixed, "sig").join(bits, "cid").withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     blocked = blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.select("sig", "cid", "root", "n", "sketch", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
-    pairs = blocked.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    blocked = blocked.select("sig", "cid", "root", "n", "bits", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
+    pairs = blocked.groupBy("sig", "i", "j").applyInPandas(_between, "a long, b long").distinct()
     return edges.unionByName(verified(pairs, texts))
 
 
@@ -303,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, th, n_shingles, component_id) per row of ``docs``; th is the xxhash64 of the text."""
     spark = docs.sparkSession
     rows = stage(describe(docs), "rows")
-    classes = stage(rows.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "classes")
+    classes = stage(rows.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("low").alias("low"), F.any_value("sketch").alias("sketch")), "classes")
     coarse = stage(bucketed(coarse_rows(docs)), "coarse")
     release(spark)
     hot = coarse.where("b is null").select("sig", F.col("a").alias("cid"))
@@ -311,14 +324,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowd = stage(hot.select("cid").distinct(), "crowd")
     wanted = crowd.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("cid"))).distinct()
     texts = stage(texts_of(docs, classes, wanted), "texts")
-    in_crowd = texts.join(small(crowd, FEW_IDS), "cid", "left_semi")
-    fine = stage(bucketed(fine_rows(in_crowd)), "fine")
-    release(spark)
-    more = sifted(fine.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), classes)
-    edges = verified(pairs.unionByName(more), texts)
-    hot_parts = fine.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.collect_list("sig").alias("hot"))
-    poor = poor_rows(texts.join(hot_parts, "cid"))
-    edges = within_hot(hot.join(stage(poor.distinct(), "poor"), "cid", "left_semi"), classes, edges, texts)
+    pairs, poor = [pairs], crowd
+    for emitted in ("low", "n"):
+        own = texts.join(small(poor, FEW_IDS), "cid", "left_semi")
+        fine = stage(bucketed(fine_rows(own, half=emitted == "low"), FINE_BUCKET), "fine")
+        release(spark)
+        pairs.append(stage(sifted(fine.where("b is not null").select("a", "b").distinct(), classes), "pairs"))
+        poor = stage(poor_classes(classes, poor, fine, emitted), "poor")
+    edges = verified(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct(), texts)
+    edges = within_hot(stage(hot.join(poor, "cid", "left_semi"), "members"), edges, texts)
     release(spark)
     named = _with_roots(classes.select("cid", "doc"), "cid", edges)
     names = named.groupBy("root").agg(F.min("doc").alias("component"))

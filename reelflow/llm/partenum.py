@@ -11,8 +11,8 @@ two such sets meet there. Under the last seed an empty part is a signature as we
 
 Bands double; a set also emits in the next band if a partner there is possible.
 
-``fine`` signatures are of a partition into ``FINE`` times as many parts and all of them are emitted:
-for sets whose shared signatures were all very frequent, to be told apart from what is frequent in them.
+The finest partition has a part for each element. Of a set of size a, at most a / 4 elements are missing
+in a similar one, so a set shares one of any a / 4 + 1 of its elements with every similar set.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from reelflow.llm.shingles import mix
 SEEDS = 4
 #: Parts of a band, per element in which sets of its largest size may differ.
 PARTS = 1.15
-FINE = 4
+#: Binary logarithm of the cells of a parity at most; fewer cells only weaken its bound.
+MOST_CELLS = 17
 
 
 def band_of(size: np.ndarray) -> np.ndarray:
@@ -52,10 +53,10 @@ def configs(sizes: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return [(np.flatnonzero(sizes > 0), 0), (np.flatnonzero(crossing), 1)]
 
 
-def _emit(h: np.ndarray, sizes: np.ndarray, band: np.ndarray, seed: int, fine: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _emit(h: np.ndarray, sizes: np.ndarray, band: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signatures, set of each, sets that had too few parts)."""
     need = need_of(sizes, band)
-    parts = (np.ceil(PARTS * (2 * _top(band) // 7)).astype(np.int64) + 1) * (FINE if fine else 1)
+    parts = np.ceil(PARTS * (2 * _top(band) // 7)).astype(np.int64) + 1
     if seed:
         h = mix(h * np.uint64(2 * seed + 1))
         own = np.repeat(np.arange(len(sizes)), sizes)
@@ -69,7 +70,7 @@ def _emit(h: np.ndarray, sizes: np.ndarray, band: np.ndarray, seed: int, fine: b
     owner, part = owner[at], part[at]
     filled = np.bincount(owner, minlength=len(sizes))
     rank = np.arange(len(at)) - np.repeat(np.cumsum(filled) - filled, filled)
-    used = (rank < need[owner]) | fine
+    used = rank < need[owner]
     tag = (part[used] << np.uint64(16)) + (band[owner[used]].astype(np.uint64) << np.uint64(8)) + np.uint64(seed)
     sig = mix(sums[used] ^ mix(tag + np.uint64(0x632BE59BD9B4E019)))
     own, poor = owner[used], np.flatnonzero((filled < need) & (sizes > 0))
@@ -105,19 +106,6 @@ def signatures(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(out_sig), np.concatenate(out_own)
 
 
-def fine_signatures(h: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each band that sets emit in: (signatures, number of the set that emits each, parts that each set needs)."""
-    out = []
-    bands = band_of(sizes)
-    for who, shift in configs(sizes):
-        if len(who):
-            sig, own, _ = _emit(select(h, sizes, who), sizes[who], bands[who] + shift, 0, fine=True)
-            need = np.zeros(len(sizes), np.int64)
-            need[who] = need_of(sizes[who], bands[who] + shift)
-            out.append((sig, who[own], need))
-    return out
-
-
 def sketch(h: np.ndarray, size: int) -> bytes:
     """Elements per range of the domain, 255 at most: the sum of differences never exceeds the sets' difference."""
     cells = 1 << max(0, size.bit_length() - 3)
@@ -139,3 +127,21 @@ def may_match(a: bytes, b: bytes, size_a: int, size_b: int) -> bool:
         return True
     to = min(len(x), len(y))
     return bool(7 * np.abs(fold(x, to) - fold(y, to)).sum() <= size_a + size_b)
+
+
+def parity(h: np.ndarray, size: int) -> bytes:
+    """One bit per cell, four to eight cells an element: whether the cell holds an odd number of elements.
+
+    Two sets differ in at least as many elements as their parities in bits.
+    """
+    cells = 1 << min(MOST_CELLS, max(6, size.bit_length() + 2))
+    counts = np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold_parity(bits: bytes, words: int) -> np.ndarray:
+    """A parity as ``words`` 64-bit words; halves fold upon each other."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x

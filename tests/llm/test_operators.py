@@ -223,6 +223,9 @@ def test_similar_sets_share_a_signature():
             h, sizes = np.concatenate((a, b)), np.array([len(a), len(b)])
             sig, own = partenum.signatures(h, sizes)
             assert {*sig[own == 0].tolist()} & {*sig[own == 1].tolist()}
+            words = min(len(x) for x in (partenum.parity(a, len(a)), partenum.parity(b, len(b)))) // 8
+            x, y = (partenum.fold_parity(partenum.parity(s, len(s)), words) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
             assert partenum.may_match(partenum.sketch(a, len(a)), partenum.sketch(b, len(b)), len(a), len(b))
 
 
