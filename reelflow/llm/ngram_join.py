@@ -9,8 +9,8 @@
    yields its pairs, others are hot again. A class with more than a quarter of its elements
    emitted and not hot has met all its partners in small buckets. The others emit all their elements.
 4. The few classes that even so are nearly all hot are compared within their hot buckets of step 2: first
-   each with the class with which it shares most, in ``ROUNDS`` orders; then, between the components
-   so far, by parity bits, in blocks of ``BLOCK`` rows that are spread over tasks. No pair is left out.
+   each with the class with which it shares most, in ``ROUNDS`` orders; then each with the
+   nearest of another component; then all, between the components so far, by parity bits, in blocks of ``BLOCK`` rows that are spread over tasks. No pair is left out.
 5. Pairs that pass sketches or parities (lower bounds of the difference) are verified on the sets.
 6. Components come from alternating large and small stars over the verified links.
 
@@ -273,8 +273,11 @@ def parities_of(texts: DataFrame) -> DataFrame:
     return texts.select("cid", "text").mapInArrow(run, "cid long, n long, bits binary").groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
 
 
-def _between(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket that are of different components and may match by their parities."""
+def _compare(pdf: pd.DataFrame, nearest: bool) -> pd.DataFrame:
+    """Pairs of two blocks of a bucket that are of different components and may match by their parities.
+
+    ``nearest``: for each row of the first block, only the pair that differs least.
+    """
     left, right = pdf[pdf["at"] == pdf["i"]], pdf[pdf["at"] == pdf["j"]]
     words = min(map(len, pdf["bits"])) // 8
     y = np.stack([partenum.fold_parity(x, words) for x in right["bits"]])
@@ -282,15 +285,26 @@ def _between(pdf: pd.DataFrame) -> pd.DataFrame:
     same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
     a, b = [], []
     for x, k, r, c in zip(left["bits"], left["n"], left["root"], left["cid"], strict=True):
-        on = np.flatnonzero((root != r) & (4 * np.minimum(n, k) >= 3 * np.maximum(n, k)) & ((cid > c) | (not same)))
+        on = np.flatnonzero((root != r) & (4 * np.minimum(n, k) >= 3 * np.maximum(n, k)) & ((cid > c) | (nearest or not same)))
         if len(on):
             apart = np.bitwise_count(y[on] ^ partenum.fold_parity(x, words)).sum(axis=1, dtype=np.int64)
-            hit = cid[on[7 * apart <= n[on] + k]]
+            ok = np.flatnonzero(7 * apart <= n[on] + k)
+            if nearest and len(ok):
+                ok = ok[[apart[ok].argmin()]]
+            hit = cid[on[ok]]
             a.append(np.minimum(hit, c))
             b.append(np.maximum(hit, c))
     return pd.DataFrame({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
 
 
+def _nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _compare(pdf, nearest=True)
+
+
+def _between(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _compare(pdf, nearest=False)
+
+
 def within_hot(members: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the classes (sig, cid) of hot buckets, as many as are needed for their components.
 
@@ -302,14 +316,16 @@ def within_hot(members: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFr
         best = shared.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
         pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = edges.unionByName(verified(pairs.join(edges, ["a", "b"], "left_anti"), texts))
-    rows = stage(_with_roots(members, "cid", edges), "rooted")
-    mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     bits = stage(parities_of(texts.join(members.select("cid").distinct(), "cid", "left_semi")), "parities")
-    blocked = rows.join(mixed, "sig").join(bits, "cid").withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    blocked = blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.select("sig", "cid", "root", "n", "bits", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
-    pairs = blocked.groupBy("sig", "i", "j").applyInPandas(_between, "a long, b long").distinct()
-    return edges.unionByName(verified(pairs, texts))
+    for compare in (_nearest, _between):
+        rows = stage(_with_roots(members, "cid", edges), "rooted")
+        mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        blocked = rows.join(mixed, "sig").join(bits, "cid").withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        blocked = blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocked = blocked.select("sig", "cid", "root", "n", "bits", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
+        pairs = blocked.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        edges = edges.unionByName(verified(pairs, texts))
+    return edges
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
