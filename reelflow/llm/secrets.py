@@ -7,7 +7,9 @@ stand for, and scores each literal by the name that it ends up in and by its own
 of at least ``THRESHOLD`` is a span of kind ``literal``, unless a pattern covers it already.
 
 A null text is empty. Each row is judged alone: repeats and ties need no rule. Positions are in code
-points. Work is linear in the text: every operator is looked at once, and names chain at most once each.
+points. Every operator is looked at once. Chains share what they have in common; only one that runs into
+its own pairs again, in a text where it can still reach a literal, is followed for itself, at most once
+through each pair.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -153,32 +156,89 @@ def literal_score(value: str) -> float:
     return spread * (0.55 if kinds == 1 else 0.85 if kinds == 2 else 1.0) * (0.5 if " " in value.strip() else 1.0)
 
 
+def _alive(found: list[Pair]) -> set[str]:
+    """Names from which some literal can be reached."""
+    users: dict[str, list[str]] = {}
+    for name, _, pieces, other in found:
+        if not pieces and other:
+            users.setdefault(other, []).append(name)
+    alive = {p[0] for p in found if p[2]}
+    todo = list(alive)
+    while todo:
+        fresh = {n for n in users.pop(todo.pop(), ()) if n not in alive}
+        alive |= fresh
+        todo += fresh
+    return alive
+
+
+def _unseen(options: list[int], k: int, past: dict[int, int]) -> int:
+    """The first place from ``k`` on whose pair is not in ``past``; what has been skipped points there from now on."""
+    way = []
+    while 0 <= k < len(options) and options[k] in past:
+        way.append(options[k])
+        k = past[options[k]]
+    past.update(dict.fromkeys(way, k))
+    return k
+
+
+def ends_of_chains(found: list[Pair], starts: list[int]) -> dict[int, int | None]:
+    """Per start the pair with the literal that its name stands for, or None.
+
+    A name stands for its nearest earlier assignment that the chain has not seen, else the first later one.
+    Self-assignments lead only to what they could be skipped for, so they are no options.
+    """
+    held: dict[str, list[int]] = {}
+    for i, (name, _, pieces, other) in enumerate(found):
+        if pieces or other != name:
+            held.setdefault(name, []).append(i)
+    alive = _alive(found)
+    known: dict[int, int | None] = {}  # of pairs whose chain meets none of its own pairs again
+    out: dict[int, int | None] = {}
+    for i in starts:
+        at: int | None = i
+        way: list[int] = []
+        below: dict[int, int] = {}
+        above: dict[int, int] = {}
+        circle = False
+        while at is not None and not found[at][2]:
+            name, other = found[at][0], found[at][3]
+            if other not in alive:
+                at = None
+            elif not circle and at in known:
+                at = known[at]
+            else:
+                way.append(at)
+                if name != other:
+                    k = bisect_left(held[name], at)
+                    below[at], above[at] = k - 1, k + 1
+                options = held.get(other, [])
+                k = bisect_left(options, at)
+                n = _unseen(options, k - 1, below) if k else -1
+                circle = circle or k > 0 and n != k - 1
+                if n < 0:
+                    k += k < len(options) and options[k] == at
+                    n = _unseen(options, k, above)
+                    circle = circle or n != k
+                at = options[n] if 0 <= n < len(options) else None
+        if not circle:
+            known.update(dict.fromkeys(way, at))
+        out[i] = at
+    return out
+
+
 def literal_spans(text: bytes) -> list[Span]:
     """Byte spans of literals that sensitive names hold, directly or through other names."""
     if b"=" not in text and b":" not in text:
         return []
     found = pairs(text)
-    held: dict[str, list[int]] = {}
-    for i, p in enumerate(found):
-        held.setdefault(p[0], []).append(i)
+    weights = {i: w for i, p in enumerate(found) if (w := name_score(p[0])) >= THRESHOLD}
     spans: set[Span] = set()
-    for i, (name, _, _, _) in enumerate(found):
-        weight = name_score(name)
-        if weight < THRESHOLD:
-            continue
-        at, seen = i, {i}
-        while at is not None and not found[at][2] and found[at][3]:  # follow the name to what it stands for
-            options = held.get(found[at][3], [])
-            earlier = [j for j in options if j < at and j not in seen] if len(options) < 9 else options[:1]
-            at = earlier[-1] if earlier else next((j for j in options if j not in seen), None)
-            if at in seen:
-                at = None
-            seen.add(at)
-        if at is None or not found[at][2]:
+    for i, at in ends_of_chains(found, [*weights]).items():
+        if at is None:
             continue
         pieces = found[at][2]
         value = b"".join(text[a:b] for a, b in pieces).decode("utf-8", "replace")
-        if weight * literal_score(value) >= THRESHOLD:
+        if weights[i] * literal_score(value) >= THRESHOLD:
             spans.add(("literal", pieces[0][0], pieces[-1][1]))
     return sorted(spans, key=lambda s: s[1:])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -94,6 +96,38 @@ def test_name_scores(name, low, high):
     assert low <= secrets.name_score(name) <= high
 
 
+def plain_end(found, i):
+    """The chain of one start, step by step over all assignments."""
+    at, seen = i, {i}
+    while at is not None and not found[at][2]:
+        options = [j for j, p in enumerate(found) if p[0] == found[at][3] and j not in seen]
+        earlier = [j for j in options if j < at]
+        at = earlier[-1] if earlier else next(iter(options), None)
+        seen.add(at)
+    return at
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 40, 3000])
+def test_a_name_with_many_assignments_stands_for_the_nearest_earlier_one(n):
+    lines = ['v = "xxxxxxxx"'] * (n - 1) + ['v = "Zk3#9vQpL2x8"', "db_pwd = v", 'v = "Bq7!mT4wX9c1"']
+    text = "\n".join(lines).encode()
+    assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == [b"Zk3#9vQpL2x8"]
+
+
+@settings(deadline=None, max_examples=500)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from(["a", "b", "c", "d", None, "a", "b", "c"])), max_size=40))
+def test_chains_equal_the_plain_ones(parts):
+    found = [(name, 0, [] if other else [(0, 1)], other) for name, other in parts]
+    assert secrets.ends_of_chains(found, [*range(len(found))]) == {i: plain_end(found, i) for i in range(len(found))}
+
+
+@pytest.mark.parametrize("text", ["password = v\nv = v\n" * 15_000, "token=token " * 30_000, "pwd = secret\nsecret = pwd\n" * 12_000, "pwd = a0\n" * 9_000 + "".join(f"a{i} = a{i + 1}\n" for i in range(9_000)), 'v = "Zk3#9vQpL2x8"\ndb_pwd = v\n' * 12_000])
+def test_long_chains_take_little_time(text):
+    began = time.monotonic()
+    secrets.literal_spans(text.encode())
+    assert time.monotonic() - began < 20
+
+
 def test_secret_edges(docs):
     rows = secrets.find_secrets(docs(ODD)).collect()
     assert len(rows) == 7 and all(r["spans"] == "" for r in rows)
