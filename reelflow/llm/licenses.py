@@ -1,8 +1,10 @@
 """License notices in texts: exact phrases, and known short notices with a few edits.
 
 A notice of n characters may differ in k = n / ``PER_EDIT`` edits. Cut into k + 1 pieces, one piece must
-occur unchanged; one Aho-Corasick automaton finds all pieces of all notices, and around each hit the
-regex library matches the notice with at most k errors and reports its span and number of edits.
+occur unchanged; one Aho-Corasick automaton finds all pieces of all notices, and around its hits Myers'
+bit-parallel edit distance finds all ends of matches. Of matches of a notice that overlap, the one with the
+fewest edits is reported, then the one that ends first, then the shortest; what it leaves free to its left
+and right is searched on.
 
 Texts are compared as normalised words (A-Z lower-cased, other ASCII separators dropped) joined by a
 space. A null text has no words. Each row is judged alone: repeats and ties need no rule. Candidates are
@@ -16,7 +18,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,40 +60,123 @@ def pieces_of(notice: str, edits: int) -> list[tuple[int, str]]:
 
 @functools.lru_cache(maxsize=4)
 def searcher(notices: tuple[tuple[str, str], ...] = NOTICES):
-    """(automaton of pieces to (notice, offset), pattern per notice)."""
+    """(automaton of pieces to (notice, offset), finder per notice)."""
     seeds: dict[str, list[tuple[int, int]]] = {}
-    patterns = []
     for i, (notice, _) in enumerate(notices):
-        k = edits_of(notice)
-        for offset, piece in pieces_of(notice, k):
+        for offset, piece in pieces_of(notice, edits_of(notice)):
             seeds.setdefault(piece, []).append((i, offset))
-        patterns.append(regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}"))
     automaton = ahocorasick.Automaton()
     for piece, owners in seeds.items():
         automaton.add_word(piece, (len(piece), owners))
     automaton.make_automaton()
-    return automaton, patterns
+    return automaton, [Finder(notice, edits_of(notice)) for notice, _ in notices]
+
+
+def _masks(notice: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for j, c in enumerate(notice):
+        out[c] = out.get(c, 0) | 1 << j
+    return out
+
+
+class Finder:
+    """Matches of one notice with at most ``k`` edits."""
+
+    def __init__(self, notice: str, k: int) -> None:
+        self.n, self.k = len(notice), k
+        self.forward, self.backward = _masks(notice), _masks(notice[::-1])
+
+    def ends(self, text: str, p: int, q: int, most: int, first: bool = False) -> list[tuple[int, int]]:
+        """(edits, end) of each end in text[p:q] with at most ``most`` edits from its best start, or only of the first."""
+        full, top = (1 << self.n) - 1, 1 << self.n - 1
+        get = self.forward.get
+        up, down, d = full, 0, self.n
+        out = []
+        for e, c in enumerate(text[p:q], p + 1):
+            eq = get(c, 0)
+            x = eq | down
+            same = (((eq & up) + up) ^ up) | eq
+            plus = down | ~(same | up)
+            minus = up & same
+            if plus & top:
+                d += 1
+            elif minus & top:
+                d -= 1
+            plus <<= 1
+            up = (minus << 1 | ~(x | plus)) & full
+            down = plus & x & full
+            if d <= most:
+                out.append((d, e))
+                if first:
+                    break
+        return out
+
+    def start(self, text: str, p: int, end: int, edits: int) -> int:
+        """The last start from ``p`` on of a match that ends at ``end`` with so many edits."""
+        full, top = (1 << self.n) - 1, 1 << self.n - 1
+        get = self.backward.get
+        up, down, d = full, 0, self.n
+        for s in range(end - 1, p - 1, -1):
+            eq = get(text[s], 0)
+            x = eq | down
+            same = (((eq & up) + up) ^ up) | eq
+            plus = down | ~(same | up)
+            minus = up & same
+            if plus & top:
+                d += 1
+            elif minus & top:
+                d -= 1
+            plus = plus << 1 | 1
+            up = (minus << 1 | ~(x | plus)) & full
+            down = plus & x & full
+            if d == edits:
+                return s
+        raise ValueError("no match ends here")
+
+    def spans(self, text: str, p: int, q: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of disjoint matches in text[p:q], in order."""
+        out: list[tuple[int, int, int]] = []
+        far = self.n + self.k
+        todo = [(p, q)]
+        while todo:
+            p, q = todo.pop()
+            hit = self.ends(text, p, q, self.k, first=True)
+            if not hit:
+                continue
+            d, e = hit[0]
+            s, before = self.start(text, p, e, d), e
+            while True:  # to a better one that overlaps, until there is none
+                better = sorted(x for x in self.ends(text, max(p, s - far), min(q, e + far), d) if x < (d, e) and x[1] > s)
+                spans = ((self.start(text, p, y, x), y, x) for x, y in better)
+                found = next((x for x in spans if x[0] < e), None)
+                if not found:
+                    break
+                s, e, d = found
+            out.append((s, e, d))
+            todo.append((e, q))
+            if s >= before:
+                todo.append((max(p, before - far), s))
+        return sorted(out)
 
 
 def fuzzy_notices(text: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[int, int, int, int]]:
     """(notice, start, end, edits) of notices in a normalised text, by notice and start; those of a notice never overlap."""
-    automaton, patterns = searcher(notices)
-    windows: dict[int, list[list[int]]] = {}
+    automaton, finders = searcher(notices)
+    windows: dict[int, list[tuple[int, int]]] = {}
     for end, (size, owners) in automaton.iter(text):
         for i, offset in owners:
-            k, n = edits_of(notices[i][0]), len(notices[i][0])
-            a = max(0, end + 1 - size - offset - k)
-            b = min(len(text), end + 1 - size - offset + n + k)
-            mine = windows.setdefault(i, [])
-            if mine and a <= mine[-1][1]:
-                mine[-1][0] = min(mine[-1][0], a)
-                mine[-1][1] = max(mine[-1][1], b)
-            else:
-                mine.append([a, b])
+            at, k, n = end + 1 - size - offset, finders[i].k, finders[i].n
+            windows.setdefault(i, []).append((max(0, at - k), min(len(text), at + n + k)))
     found = []
     for i in sorted(windows):
-        for a, b in windows[i]:
-            found += [(i, m.start(), m.end(), sum(m.fuzzy_counts)) for m in patterns[i].finditer(text, a, b)]
+        merged: list[list[int]] = []
+        for a, b in sorted(windows[i]):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            found += [(i, *x) for x in finders[i].spans(text, a, b)]
     return found
 
 

@@ -161,6 +161,43 @@ def test_fuzzy_notices_equal_brute_force():
         assert found == {i for i, (n, _) in enumerate(notices) if brute_fuzzy(text, n, licenses.edits_of(n))}
 
 
+def plain_spans(text, notice, k, p=0):
+    """Disjoint matches: the best of all, and those of what it leaves on both sides."""
+    best = None
+    for s in range(len(text)):
+        row = list(range(len(notice) + 1))
+        for e in range(s + 1, min(len(text), s + len(notice) + k) + 1):
+            new = [e - s]
+            for j, d in enumerate(notice, 1):
+                new.append(min(row[j - 1] + (text[e - 1] != d), row[j] + 1, new[j - 1] + 1))
+            row = new
+            if row[-1] <= k and (best is None or (row[-1], e, -s) < best):
+                best = (row[-1], e, -s)
+    if best is None:
+        return []
+    d, e, s = best[0], best[1], -best[2]
+    return [*plain_spans(text[:s], notice, k, p), (p + s, p + e, d), *plain_spans(text[e:], notice, k, p + e)]
+
+
+def test_close_notices_are_all_found():
+    text = "released undar the mit license released undar teh mit license released under the mit license"
+    i = [n for n, _ in licenses.NOTICES].index("released under the mit license")
+    assert [x for x in licenses.fuzzy_notices(text) if x[0] == i] == [(i, 0, 30, 1), (i, 31, 61, 3), (i, 62, 92, 0)]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.integers(0, 2**32), st.sampled_from(["abcabdabcabd", "aaaaaaaaaaaaaaaaaaaaaa", "the mit license", "gnu lesser gnu lesser gnu"]))
+def test_spans_of_close_notices_equal_brute_force(seed, notice):
+    rng = np.random.default_rng(seed)
+    text = list((notice + " ") * 3)
+    for _ in range(int(rng.integers(0, 14))):
+        at = int(rng.integers(0, len(text)))
+        text[at : at + int(rng.integers(0, 3))] = rng.choice(list("abx ")) if rng.random() < 0.6 else ""
+    text = "".join(text)
+    found = licenses.fuzzy_notices(text, ((notice, "x"),))
+    assert [x[1:] for x in found] == plain_spans(text, notice, licenses.edits_of(notice))
+
+
 def test_license_edges(docs):
     rows = {r["doc_id"]: r for r in licenses.find_licenses(docs([(1, None), (2, ""), (3, "relased undr the MIT licence"), (4, "CC-BY cc by"), (5, "mit license " * 3)])).collect()}
     assert rows[1]["labels"] == rows[2]["labels"] == "" and rows[1]["first_word"] is None
