@@ -4,7 +4,10 @@ The patterns (kinds ``assign access hex``) run over the UTF-8 bytes. The method
 configuration syntax around every ``=``, ``:``, ``:=`` and ``=>`` into pairs of a name and a value
 (quoted strings, also joined by ``+``; bare words; other names), follows names to the literal they
 stand for, and scores each literal by the name that it ends up in and by its own randomness. A literal
-of at least ``THRESHOLD`` is a span of kind ``literal``, unless a pattern covers it already.
+of at least ``THRESHOLD`` is a span of kind ``literal``, unless a pattern covers it already. Names of
+secrets that people choose need no randomness: any quoted literal of 6 characters that is no placeholder
+counts. Other names never take a literal with an inner space (but for ``Bearer`` and the like before it)
+or of a single class of characters.
 
 A null text is empty. Each row is judged alone: repeats and ties need no rule. Positions are in code
 points. Every operator is looked at once. Chains share what they have in common; only one that runs into
@@ -38,13 +41,18 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
 
 #: How telling a part of a name is. Fixed values.
-NAME_PARTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "bearer": 0.8, "private": 0.6, "signing": 0.6, "encryption": 0.6, "key": 0.5, "salt": 0.6, "pin": 0.5, "dsn": 0.7, "cookie": 0.6}
+NAME_PARTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.75, "bearer": 0.8, "private": 0.6, "signing": 0.6, "encryption": 0.6, "key": 0.6, "salt": 0.75, "pin": 0.75, "dsn": 0.75, "cookie": 0.75}
+#: Names of what people choose: any literal counts, however little random. Of a ``pin`` any digits do.
+CHOSEN = frozenset(("password", "passwd", "passphrase", "pwd", "secret", "credential", "credentials"))
 #: Parts that make a ``key`` a secret.
 KEY_PREFIXES = frozenset(("api", "access", "private", "secret", "signing", "encryption", "auth", "master", "service", "account"))
 #: Names and values that are not secrets.
 HARMLESS_NAMES = frozenset(("id", "name", "url", "uri", "path", "file", "type", "length", "count", "field", "label", "hint", "policy", "expires", "ttl"))
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|0+|none|null|nil|true|false|changeme|change_me|example.*|your[_-].*|my[_-].*|todo|test|dummy|sample.*|placeholder.*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|\$[A-Za-z_].*)$")
 
+#: What stands before a token in a header.
+_SCHEME = re.compile(r"(?i)^(?:bearer|basic|token) +")
+
 _OPERATOR = re.compile(rb":=|=>|==+|[:=]")
 _NAME = re.compile(rb"[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z0-9_$]+)*")
 _NAME_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
@@ -133,9 +141,13 @@ def pairs(text: bytes) -> list[Pair]:
     return out
 
 
+def _parts(name: str) -> list[str]:
+    return [p.lower() for p in _CAMEL.findall(name)]
+
+
 def name_score(name: str) -> float:
     """0 to 1: how surely a thing of this name is a secret."""
-    parts = [p.lower() for p in _CAMEL.findall(name)]
+    parts = _parts(name)
     if not parts or parts[-1] in HARMLESS_NAMES:
         return 0.0
     best = max(NAME_PARTS.get(p, 0.0) for p in parts)
@@ -145,9 +157,14 @@ def name_score(name: str) -> float:
     return best
 
 
+def _blank(value: str) -> bool:
+    return len(value) < 6 or bool(PLACEHOLDERS.match(value))
+
+
 def literal_score(value: str) -> float:
     """0 to 1: how random a literal looks; 0 for placeholders and for fewer than 6 characters."""
-    if len(value) < 6 or PLACEHOLDERS.match(value):
+    value = _SCHEME.sub("", value)
+    if _blank(value):
         return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -156,6 +173,15 @@ def literal_score(value: str) -> float:
     return spread * (0.55 if kinds == 1 else 0.85 if kinds == 2 else 1.0) * (0.5 if " " in value.strip() else 1.0)
 
 
+def score(name: str, value: str, quoted: bool) -> float:
+    """0 to 1: how surely ``value`` is a secret that ``name`` holds. A bare word of letters may be prose and is never taken as chosen."""
+    weight = name_score(name)
+    parts = {*_parts(name)}
+    if (parts & CHOSEN and (quoted or not value.isalpha()) or "pin" in parts and value.isdigit()) and not _blank(value):
+        return weight
+    return weight * literal_score(value)
+
+
 def _alive(found: list[Pair]) -> set[str]:
     """Names from which some literal can be reached."""
     users: dict[str, list[str]] = {}
@@ -231,14 +257,14 @@ def literal_spans(text: bytes) -> list[Span]:
     if b"=" not in text and b":" not in text:
         return []
     found = pairs(text)
-    weights = {i: w for i, p in enumerate(found) if (w := name_score(p[0])) >= THRESHOLD}
+    starts = [i for i, p in enumerate(found) if name_score(p[0]) >= THRESHOLD]
     spans: set[Span] = set()
-    for i, at in ends_of_chains(found, [*weights]).items():
+    for i, at in ends_of_chains(found, starts).items():
         if at is None:
             continue
         pieces = found[at][2]
         value = b"".join(text[a:b] for a, b in pieces).decode("utf-8", "replace")
-        if weights[i] * literal_score(value) >= THRESHOLD:
+        if score(found[i][0], value, text[pieces[0][0] - 1] in b"\"'") >= THRESHOLD:
             spans.add(("literal", pieces[0][0], pieces[-1][1]))
     return sorted(spans, key=lambda s: s[1:])
 

@@ -96,6 +96,34 @@ def test_name_scores(name, low, high):
     assert low <= secrets.name_score(name) <= high
 
 
+LITERALS = {
+    b'passphrase = "correct horse battery staple 9X"': b"correct horse battery staple 9X",
+    b'db_pwd = "hunterhunter"': b"hunterhunter",
+    b"pwd=19283746": b"19283746",
+    b"auth: q7w3e9r1t5y2": b"q7w3e9r1t5y2",
+    b'dsn = "q7w3e9r1t5y2"': b"q7w3e9r1t5y2",
+    b"pin = '482913'": b"482913",
+    b'key = "Zk3#9vQpL2x8"': b"Zk3#9vQpL2x8",
+    b'auth_header = "Bearer Zk3#9vQpL2x8"': b"Bearer Zk3#9vQpL2x8",
+    b'pwd = "changeme"': None,
+    b'pwd = "short"': None,
+    b'auth = "nothing much here"': None,
+    b"my pwd: remember.": None,
+    b'pin = "top-left"': None,
+    b'primary_key = "customer_id"': None,
+}
+
+
+@pytest.mark.parametrize("text", LITERALS)
+def test_every_listed_name_can_hold_a_secret(text):
+    assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == ([LITERALS[text]] if LITERALS[text] else [])
+
+
+@pytest.mark.parametrize("name", secrets.NAME_PARTS)
+def test_no_name_is_listed_in_vain(name):
+    assert secrets.score(name, "Zk3#9vQpL2x8", True) >= secrets.THRESHOLD
+
+
 def plain_end(found, i):
     """The chain of one start, step by step over all assignments."""
     at, seen = i, {i}
