@@ -7,7 +7,8 @@ stand for, and scores each literal by the name that it ends up in and by its own
 of at least ``THRESHOLD`` is a span of kind ``literal``, unless a pattern covers it already. Names of
 secrets that people choose need no randomness: any quoted literal of 6 characters that is no placeholder
 counts. Other names never take a literal with an inner space (but for ``Bearer`` and the like before it)
-or of a single class of characters.
+or of a single class of characters. A quoted literal that is not itself a span is lexed in turn, without its
+escapes and with names of its own (connection strings, embedded JSON).
 
 A null text is empty. Each row is judged alone: repeats and ties need no rule. Positions are in code
 points. Every operator is looked at once. Chains share what they have in common; only one that runs into
@@ -59,6 +60,9 @@ _NAME_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _BARE = re.compile(rb"[A-Za-z0-9+/_.=~!@#%^&*-]{6,}")
 _GAP = re.compile(rb"[ \t]*")
 _PLUS = re.compile(rb"[ \t]*\+[ \t]*(?=[\"'])")
+#: Escapes that stand for themselves without the backslash, and all.
+_SELF = {b"\\\\": 92, b'\\"': 34, b"\\'": 39, b"\\/": 47}
+_ESCAPES = _SELF | {b"\\n": 10, b"\\r": 13, b"\\t": 9}
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[str, int, int]
@@ -252,6 +256,24 @@ def ends_of_chains(found: list[Pair], starts: list[int]) -> dict[int, int | None
     return out
 
 
+def _quoted_pieces(text: bytes, pieces: list[tuple[int, int]]) -> bool:
+    return bool(pieces) and text[pieces[0][0] - 1] in b"\"'"
+
+
+def _unescaped(text: bytes, pieces: list[tuple[int, int]]) -> tuple[bytes, list[int]]:
+    """What a quoted literal holds, and where each of its bytes stands."""
+    out, at = bytearray(), []
+    for a, b in pieces:
+        i = a
+        while i < b:
+            two = text[i : min(i + 2, b)]
+            c = _ESCAPES.get(two)
+            out.append(text[i] if c is None else c)
+            at.append(i + (two in _SELF))
+            i += 1 if c is None else 2
+    return bytes(out), at
+
+
 def literal_spans(text: bytes) -> list[Span]:
     """Byte spans of literals that sensitive names hold, directly or through other names."""
     if b"=" not in text and b":" not in text:
@@ -264,8 +286,13 @@ def literal_spans(text: bytes) -> list[Span]:
             continue
         pieces = found[at][2]
         value = b"".join(text[a:b] for a, b in pieces).decode("utf-8", "replace")
-        if score(found[i][0], value, text[pieces[0][0] - 1] in b"\"'") >= THRESHOLD:
+        if score(found[i][0], value, _quoted_pieces(text, pieces)) >= THRESHOLD:
             spans.add(("literal", pieces[0][0], pieces[-1][1]))
+    for _, _, pieces, _ in found:
+        if _quoted_pieces(text, pieces) and ("literal", pieces[0][0], pieces[-1][1]) not in spans:
+            if any(text.find(c, a, b) >= 0 for a, b in pieces for c in (b"=", b":")):
+                inner, at = _unescaped(text, pieces)
+                spans.update(("literal", at[a], at[b - 1] + 1) for _, a, b in literal_spans(inner))
     return sorted(spans, key=lambda s: s[1:])
 
 

@@ -119,6 +119,25 @@ def test_every_listed_name_can_hold_a_secret(text):
     assert [text[a:b] for _, a, b in secrets.literal_spans(text)] == ([LITERALS[text]] if LITERALS[text] else [])
 
 
+INSIDE = {
+    'conn = "Server=db;Pwd=Zk3#9vQpL2x8"': ["Zk3#9vQpL2x8"],
+    'conn = "Server=db;" + "Pwd=Zk3#9vQpL2x8"': ["Zk3#9vQpL2x8"],
+    'conn = "Server=db;Pwd=Zk3" + "9vQpL2x8"': ['Zk3" + "9vQpL2x8'],
+    """cfg = '{"user": "bob", "pwd": "Zk3#9vQpL2x8", "é": {"passphrase": "one two three"}}'""": ["Zk3#9vQpL2x8", "one two three"],
+    r'cfg = "{\"user\": \"bob\", \"pwd\": \"Zk3#9vQpL2x8\"}"': ["Zk3#9vQpL2x8"],
+    r'env = "HOST=a\nDB_PWD=Zk3#9vQpL2x8\nX=1"': ["Zk3#9vQpL2x8"],
+    r'a = "{\"b\": \"{\\\"pwd\\\": \\\"Zk3#9vQpL2x8\\\"}\"}"': ["Zk3#9vQpL2x8"],
+    'pwd = "Server=db;Pwd=Zk3#9vQpL2x8"': ["Server=db;Pwd=Zk3#9vQpL2x8"],
+    'conn = "Server=db;Mode=Zk3#9vQpL2x8"': [],
+}
+
+
+@pytest.mark.parametrize("text", INSIDE)
+def test_settings_inside_a_quoted_literal(text):
+    raw = text.encode()
+    assert [raw[a:b].decode() for _, a, b in secrets.literal_spans(raw)] == INSIDE[text]
+
+
 @pytest.mark.parametrize("name", secrets.NAME_PARTS)
 def test_no_name_is_listed_in_vain(name):
     assert secrets.score(name, "Zk3#9vQpL2x8", True) >= secrets.THRESHOLD
