@@ -10,14 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from reelflow.plans.errors import DecodeError
+
 #: Sampling factors of luma over chroma and their names. Fixed values.
 SUBSAMPLING = {(1, 1): "444", (2, 1): "422", (2, 2): "420", (1, 2): "440", (4, 1): "411"}
 
 
 def image_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, height, width, channels, data) by Spark's image source: BGR bytes, decoded in the JVM."""
+    """(path, height, width, channels, data) by Spark's image source: BGR bytes, decoded in the JVM.
+
+    A file that is no image fails the query, with the text of its DecodeError. Spark's readers skip empty files: those
+    raise DecodeError at once, from the listing that Spark has made.
+    """
+    raw = spark.read.format("image").option("dropInvalid", False).load(folder)
+    files = raw._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().allFiles().iterator()
+    while files.hasNext():
+        if (file := files.next()).getLen() == 0:
+            raise DecodeError(file.getPath().toString(), 0, ValueError("empty file"))
     i = F.col("image")
-    return spark.read.format("image").option("dropInvalid", True).load(folder).select(i["origin"].alias("path"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"))
+    said = str(DecodeError("", 0, ValueError("not an image")))
+    broken = F.raise_error(F.concat(F.lit("DecodeError: "), i["origin"], F.lit(said)))
+    rows = raw.where(F.when(i["height"] > 0, True).otherwise(broken.cast("boolean")))
+    return rows.select(i["origin"].alias("path"), i["height"].alias("height"), i["width"].alias("width"), i["nChannels"].alias("channels"), i["data"].alias("data"))
 
 
 def image_sequences(frames: DataFrame) -> DataFrame:

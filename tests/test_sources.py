@@ -96,6 +96,16 @@ def test_images(spark, tmp_path):
     assert sorted((r["seq_id"], r["frame_idx"], r["height"]) for r in df.collect()) == [("s1", 0, 1), ("s1", 1, 1), ("s2", 0, 1)]
 
 
+@pytest.mark.parametrize("data", [b"", b"text, not an image", PNG[:40]])
+def test_broken_images_do_not_vanish(spark, tmp_path, data):
+    (tmp_path / "s1").mkdir()
+    for name, held in (("a", PNG), ("b", data), ("c", PNG)):
+        (tmp_path / "s1" / f"{name}.png").write_bytes(held)
+    for run in ("collect", "count"):
+        with pytest.raises(Exception, match="s1/b.png: decoding failed"):
+            getattr(images.image_sequences(images.image_frames(spark, str(tmp_path / "*"))).select("frame_idx"), run)()
+
+
 def test_jpeg_headers(spark):
     sof = b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, 48, 64, 3) + bytes([1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1])
     data = b"\xff\xd8\xff\xe0\x00\x04ab" + sof
