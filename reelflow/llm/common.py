@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +19,14 @@ SLICE_BYTES = 4 << 20
 #: A word ends at a space, tab, line feed, vertical tab, form feed or carriage return.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Deletes the shuffle files of a query when it has ended. A public setting of Spark 4.1.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    Only a local session without that setting (tests, a bench) gets a temporary folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -35,31 +37,94 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+class Scratch:
+    """Folders that were staged while it was open. ``clear`` deletes them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def drop(self, path: str) -> None:
+        self.paths.remove(path)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    def clear(self) -> None:
+        for path in list(self.paths):
+            self.drop(path)
+
+
+#: The innermost open scratch, and those around it.
+_open: ContextVar[tuple[Scratch, ...]] = ContextVar("open", default=())
+_until_exit: list[Scratch] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: bool = False) -> Iterator[Scratch]:
+    """What is staged inside is deleted at the end (or, with ``keep``, by the caller), but for what ``hand_on`` stages."""
+    held = Scratch(spark)
+    token = _open.set((*_open.get(), held))
+    try:
+        yield held
+    finally:
+        _open.reset(token)
+        if not keep:
+            held.clear()
+
+
+def _owner(spark: SparkSession, outer: int) -> Scratch:
+    around = _open.get()
+    if len(around) > outer:
+        return around[-1 - outer]
+    if not _until_exit or _until_exit[-1].spark is not spark:
+        _until_exit.append(Scratch(spark))
+    return _until_exit[-1]
+
+
+def _staged(df: DataFrame, name: str, owner: Scratch) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    owner.paths.append(path)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = (owner, path)
+    return out
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Its shuffle files go when it is written; the folder goes with the open scratch, else at exit.
+    """
+    return _staged(df, name, _owner(df.sparkSession, 0))
+
+
+def hand_on(df: DataFrame, name: str) -> DataFrame:
+    """``stage``, into what is around the innermost open scratch: the result of an operator outlives its working folders."""
+    return _staged(df, name, _owner(df.sparkSession, 1))
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete folders of frames that ``stage`` returned and nobody reads any more."""
+    for df in staged:
+        owner, path = df._staged_at
+        owner.drop(path)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for held in _until_exit:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            held.clear()
         except Exception:  # the session ended first; the folder's owner cleans up
             return
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has been staged: it does so once Python and the JVM have dropped their handles."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever extra columns it brings."""
     taken = {c.lower() for c in df.columns}

@@ -2,23 +2,27 @@
 
 1. Each text becomes its set of shingle hashes; texts with equal sets form a class, and from
    here on a class stands for its copies.
-2. Each class emits the signatures of ``partenum``: similar classes share one. Signatures are
+2. Each class emits the signatures of ``partenum``: similar classes share several. Signatures are
    shuffled and sorted; a bucket of up to ``BUCKET`` classes yields its pairs.
 3. A larger bucket is hot: a passage or line that many texts share, or a large group of near
-   copies. Its classes emit their elements of half the hash domain: a bucket of up to ``FINE_BUCKET``
-   yields its pairs, others are hot again. A class with more than a quarter of its elements
-   emitted and not hot has met all its partners in small buckets. The others emit all their elements.
+   copies. A class with no more hot signatures than two similar classes surely share has met all its
+   partners in small buckets. The others emit their elements of half the hash domain: a bucket of up
+   to ``FINE_BUCKET`` yields its pairs, others are hot again. A class with more than a quarter of its
+   elements emitted and not hot has met all its partners. The others emit all their elements.
 4. The few classes that even so are nearly all hot are compared within their hot buckets of step 2: first
    each with the class with which it shares most, in ``ROUNDS`` orders; then each with the
-   nearest of another component; then all, between the components so far, by parity bits, in blocks of ``BLOCK`` rows that are spread over tasks. No pair is left out.
+   nearest of another component; then, where a class had more than one such, all between the components
+   so far, by parity bits, in blocks of ``BLOCK`` rows that are spread over tasks. No pair is left out.
 5. Pairs that pass sketches or parities (lower bounds of the difference) are verified on the sets.
 6. Components come from alternating large and small stars over the verified links.
 
-Nothing of the size of the corpus reaches the driver. A set is held by 64-bit hashes.
+Nothing of the size of the corpus reaches the driver. A set is held by 64-bit hashes, a class is told
+apart by 128 bits: where sets of one 64-bit class differ in a second hash, all but one take that as their class.
 
 Nulls: a null text, or one without words, has no shingles and no links: its component is its own id.
 A null id takes part, but never names a component unless there is no other.
-Repeated rows are copies; rows that repeat an id with other texts are texts of their own.
+Repeated rows are copies; rows that repeat an id with other texts are texts of their own. An empty table
+gives an empty result. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -26,13 +30,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reelflow.llm import partenum
-from reelflow.llm.common import fresh, release, small, stage, text_slices
+from reelflow.llm.common import discard, fresh, hand_on, scratch, small, stage, text_slices
 from reelflow.llm.shingles import mix, shingle_sets
 
 #: Classes of a bucket up to which all its pairs are looked at: few at first, as what many texts share is
@@ -41,55 +45,71 @@ BUCKET, FINE_BUCKET = 4, 16
 #: Half the hash domain.
 HALF = np.uint64(1 << 63)
 #: Rounds in which each class of hot buckets is compared with one other, before all are compared.
-ROUNDS = 3
+ROUNDS = 2
 #: Rows that a task holds of each side when it compares within a hot bucket.
 BLOCK = 2048
 #: Ids that are broadcast at most (16 bytes each); beyond it, the join is left to Spark.
 FEW_IDS = 1 << 20
+#: Parities that are broadcast at most; one has 16 KB at most and two to four bits an element.
+FEW_PARITIES = 1 << 11
 #: Classes that a task remembers, not to emit a copy's signatures again.
 SEEN = 1 << 17
 
 
-def _class_ids(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _class_ids(h: np.ndarray, sizes: np.ndarray, salt: int = 3) -> np.ndarray:
     """64-bit hash of each set; 0 for an empty one."""
     out = np.zeros(len(sizes), np.uint64)
     some = sizes > 0
     if some.any():
         starts = (np.cumsum(sizes) - sizes)[some]
-        out[some] = mix(np.add.reduceat(mix(h * np.uint64(3)), starts) + sizes[some].astype(np.uint64))
+        out[some] = mix(np.add.reduceat(mix(h * np.uint64(salt)), starts) + sizes[some].astype(np.uint64))
     return out.view(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+#: Classes whose sets differ, and the second hash of the set that stays in each.
+Clashes = dict[int, int]
+
+
+def _told_apart(h: np.ndarray, sizes: np.ndarray, clashes: Clashes) -> tuple[np.ndarray, np.ndarray]:
+    """(class, second hash) of each set."""
+    cids, second = _class_ids(h, sizes), _class_ids(h, sizes, salt=5)
+    for i in np.flatnonzero(np.isin(cids, list(clashes))) if clashes else ():
+        if second[i] != clashes[int(cids[i])]:
+            cids[i] = second[i]
+    return cids, second
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for rows, texts in text_slices(batches, most=1 << 20):
-        h, sizes = shingle_sets(texts)
-        yield rows, h, sizes, _class_ids(h, sizes)
+        yield rows, *shingle_sets(texts)
 
 
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, n, low, cid, sketch) per row: hash of the text, size, elements in the lower half, class and sketch of its set."""
+def describe(docs: DataFrame, clashes: Clashes) -> DataFrame:
+    """(doc_id, th, n, low, cid, second, sketch) per row: hash of the text, size, elements in the lower half, class and sketch of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, h, sizes, cids in _sets(batches):
+        for rows, h, sizes in _sets(batches):
+            cids, second = _told_apart(h, sizes, clashes)
             ends = np.cumsum(sizes)
             sketches = [partenum.sketch(h[e - n : e], int(n)) if n else None for e, n in zip(ends, sizes, strict=True)]
             low = np.diff(np.concatenate(([0], np.cumsum(h < HALF)))[np.concatenate(([0], ends))])
-            yield _batch(doc_id=rows.column(0), th=rows.column(1), n=sizes, low=low, cid=pa.array(cids, mask=sizes == 0), sketch=pa.array(sketches, pa.binary()))
+            yield _batch(doc_id=rows.column(0), th=rows.column(1), n=sizes, low=low, cid=pa.array(cids, mask=sizes == 0), second=second, sketch=pa.array(sketches, pa.binary()))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, n long, low long, cid long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, th long, n long, low long, cid long, second long, sketch binary")
 
 
-def coarse_rows(docs: DataFrame) -> DataFrame:
+def coarse_rows(docs: DataFrame, clashes: Clashes) -> DataFrame:
     """(sig, cid): signatures of every text, once per class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, h, sizes, cids in _sets(batches):
+        for _, h, sizes in _sets(batches):
+            cids, _ = _told_apart(h, sizes, clashes)
             new = np.zeros(len(sizes), bool)
             for i, c in enumerate(cids.tolist()):
                 if sizes[i] and c not in seen:
@@ -103,12 +123,19 @@ def coarse_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").where("text is not null").mapInArrow(run, "sig long, cid long")
 
 
+def unresolved(hot: DataFrame) -> DataFrame:
+    """(cid) of the classes that may have partners in large buckets (sig, cid) alone."""
+    slack = F.element_at(F.array(*[F.lit(x) for x in partenum.slacks()]), F.shiftright("tag", 2) + 1)
+    counts = hot.groupBy("cid", F.col("sig").bitwiseAND(partenum.TAG).cast("int").alias("tag")).agg(F.count("*").alias("hot"))
+    return counts.where(F.col("hot") > slack).select("cid").distinct()
+
+
 def fine_rows(texts: DataFrame, half: bool) -> DataFrame:
     """(sig, cid) of (cid, text): the set's elements, those of the lower half of the domain alone if ``half``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, sizes, cids in _sets(batches):
-            own = np.repeat(cids, sizes)
+        for rows, h, sizes in _sets(batches):
+            own = np.repeat(rows.column(0).to_numpy(), sizes)
             low = h < HALF if half else np.ones(len(h), bool)
             yield _batch(sig=h[low].view(np.int64), cid=own[low])
 
@@ -226,9 +253,9 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, set) of the wanted classes from (cid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, sizes, cids in _sets(batches):
+        for rows, h, sizes in _sets(batches):
             ends = np.cumsum(sizes)
-            yield _batch(cid=cids, set=pa.array([h[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()))
+            yield _batch(cid=rows.column(0), set=pa.array([h[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()))
 
     ids = small(stage(wanted.distinct(), "wanted"), FEW_IDS)
     return texts.join(ids, "cid", "left_semi").select("cid", "text").mapInArrow(run, "cid long, set binary")
@@ -266,43 +293,99 @@ def parities_of(texts: DataFrame) -> DataFrame:
     """(cid, n, bits) of (cid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, sizes, cids in _sets(batches):
+        for rows, h, sizes in _sets(batches):
             ends = np.cumsum(sizes)
-            yield _batch(cid=cids, n=sizes, bits=pa.array([partenum.parity(h[e - n : e], int(n)) for e, n in zip(ends, sizes, strict=True)], pa.binary()))
+            yield _batch(cid=rows.column(0), n=sizes, bits=pa.array([partenum.parity(h[e - n : e], int(n)) for e, n in zip(ends, sizes, strict=True)], pa.binary()))
 
     return texts.select("cid", "text").mapInArrow(run, "cid long, n long, bits binary").groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
 
 
-def _compare(pdf: pd.DataFrame, nearest: bool) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket that are of different components and may match by their parities.
-
-    ``nearest``: for each row of the first block, only the pair that differs least.
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows that agree in their first columns, from rows in their order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = np.ones(batch.num_rows, bool)
+        for i in range(keys):
+            last &= batch.column(i).to_numpy() == batch.column(i)[batch.num_rows - 1].as_py()
+        tail = int(np.argmax(last))
+        same = held and all(held[0].column(i)[0] == batch.column(i)[0] for i in range(keys))
+        if tail or (held and not same):
+            yield pa.Table.from_batches([*held, batch.slice(0, tail)] if same or not held else [*held])
+            if held and not same and tail:
+                yield pa.Table.from_batches([batch.slice(0, tail)])
+            held = []
+        held.append(batch.slice(tail))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, differing bits of some rows of ``x`` with all of ``y``)."""
+    step = max(1, (1 << 21) // max(1, y.size))
+    for i in range(0, len(x), step):
+        yield i, np.bitwise_count(x[i : i + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+
+
+def _candidates(cid: np.ndarray, root: np.ndarray, n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, open): rows of two blocks of a bucket that are of different components and may match by their parities.
+
+    ``nearest``: for each row of the first block only the pair that differs least, and ``open`` the rows with more.
     """
-    left, right = pdf[pdf["at"] == pdf["i"]], pdf[pdf["at"] == pdf["j"]]
-    words = min(map(len, pdf["bits"])) // 8
-    y = np.stack([partenum.fold_parity(x, words) for x in right["bits"]])
-    n, root, cid = right["n"].to_numpy(), right["root"].to_numpy(), right["cid"].to_numpy()
-    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-    a, b = [], []
-    for x, k, r, c in zip(left["bits"], left["n"], left["root"], left["cid"], strict=True):
-        on = np.flatnonzero((root != r) & (4 * np.minimum(n, k) >= 3 * np.maximum(n, k)) & ((cid > c) | (nearest or not same)))
-        if len(on):
-            apart = np.bitwise_count(y[on] ^ partenum.fold_parity(x, words)).sum(axis=1, dtype=np.int64)
-            ok = np.flatnonzero(7 * apart <= n[on] + k)
-            if nearest and len(ok):
-                ok = ok[[apart[ok].argmin()]]
-            hit = cid[on[ok]]
-            a.append(np.minimum(hit, c))
-            b.append(np.maximum(hit, c))
-    return pd.DataFrame({"a": np.concatenate([*a, np.empty(0, np.int64)]), "b": np.concatenate([*b, np.empty(0, np.int64)])})
-
+    words = min(map(len, bits)) // 8
+    y = partenum.fold_parities(bits, words)
+    a, b, more = [], [], []
+    for i, apart in _apart(y[left], y[right]):
+        own = left[i : i + len(apart)]
+        size, other = n[own][:, None], n[right][None, :]
+        ok = (7 * apart <= size + other) & (4 * np.minimum(size, other) >= 3 * np.maximum(size, other)) & (root[own][:, None] != root[right][None, :])
+        if nearest:
+            some = np.flatnonzero(ok.any(axis=1))
+            a.append(own[some])
+            b.append(right[np.where(ok[some], apart[some], np.iinfo(np.int64).max).argmin(axis=1)])
+            more.append(own[some][ok[some].sum(axis=1) > 1])
+        else:
+            p, q = np.nonzero(ok)
+            a.append(own[p])
+            b.append(right[q])
+    a, b = cid[np.concatenate(a)], cid[np.concatenate(b)]
+    return np.minimum(a, b), np.maximum(a, b), np.concatenate(more) if more else np.empty(0, np.int64)
+
+
+def compared(blocked: DataFrame, nearest: bool) -> DataFrame:
+    """(sig, a, b) from blocks (sig, i, j, at, cid, root, n, bits): pairs (sig null) and, if ``nearest``, buckets with more (a, b null)."""
 
-def _nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _compare(pdf, nearest=True)
-
-
-def _between(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _compare(pdf, nearest=False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            edges = [0]
+            keys = [rows.column(k).to_numpy() for k in range(3)]
+            edges += (np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])) + 1).tolist()
+            at, cid, root, n = (rows.column(k).to_numpy() for k in range(3, 7))
+            bits = rows.column(7).to_pylist()
+            first, second, again = [], [], []
+            for p, q in zip(edges, [*edges[1:], rows.num_rows], strict=True):
+                i, j = keys[1][p], keys[2][p]
+                left, right = np.flatnonzero(at[p:q] == i), np.flatnonzero(at[p:q] == j)
+                if not len(left) or not len(right) or (root[p:q] == root[p]).all():
+                    continue
+                a, b, more = _candidates(cid[p:q], root[p:q], n[p:q], bits[p:q], left, right, nearest)
+                first.append(a)
+                second.append(b)
+                if len(more):
+                    again.append(keys[0][p])
+            if first:
+                a, b = np.concatenate(first), np.concatenate(second)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                once = np.ones(len(a), bool)
+                once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                yield _batch(sig=pa.nulls(int(once.sum()), pa.int64()), a=a[once], b=b[once])
+            if again:
+                yield _batch(sig=np.array(again, np.int64), a=pa.nulls(len(again), pa.int64()), b=pa.nulls(len(again), pa.int64()))
+
+    rows = blocked.select("sig", "i", "j", "at", "cid", "root", "n", "bits")
+    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "sig long, a long, b long")
 
 
 def within_hot(members: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -316,53 +399,88 @@ def within_hot(members: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFr
         best = shared.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
         pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = edges.unionByName(verified(pairs.join(edges, ["a", "b"], "left_anti"), texts))
-    bits = stage(parities_of(texts.join(members.select("cid").distinct(), "cid", "left_semi")), "parities")
-    for compare in (_nearest, _between):
+    own = small(stage(members.select("cid").distinct(), "hot-classes"), FEW_IDS)
+    bits = small(stage(parities_of(texts.join(own, "cid", "left_semi")), "parities"), FEW_PARITIES)
+    for nearest in (True, False):
         rows = stage(_with_roots(members, "cid", edges), "rooted")
-        mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        blocked = rows.join(mixed, "sig").join(bits, "cid").withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        mixed = mixed.where("lo <> hi").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        blocked = rows.join(mixed, "sig").withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        # nearest: each block against all, so that each row sees every other; else each two blocks once
         blocked = blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        blocked = blocked.select("sig", "cid", "root", "n", "bits", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
-        pairs = blocked.groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-        edges = edges.unionByName(verified(pairs, texts))
+        if nearest:
+            both = blocked.select("*", F.explode(F.when(F.col("o") == F.col("at"), F.array(F.struct(F.col("at").alias("i"), F.col("at").alias("j")))).otherwise(F.array(F.struct(F.col("at").alias("i"), F.col("o").alias("j")), F.struct(F.col("o").alias("i"), F.col("at").alias("j"))))).alias("ij")).select("sig", "cid", "root", "at", "ij.i", "ij.j")
+        else:
+            both = blocked.select("sig", "cid", "root", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
+        found = stage(compared(both.join(bits, "cid"), nearest), "compared")
+        edges = edges.unionByName(verified(found.where("a is not null").select("a", "b").distinct(), texts))
+        members = members.join(found.where("sig is not null").select("sig").distinct(), "sig", "left_semi")
     return edges
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, n_shingles, root, component_id) per row of ``docs``; root is one of the group's classes, null without words."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        clashes: Clashes = {}
+        while True:
+            rows = stage(describe(docs, clashes), "rows")
+            classes = rows.where("n > 0").groupBy("cid").agg(
+                F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("low").alias("low"),
+                F.any_value("sketch").alias("sketch"), F.min("second").alias("second"), F.max("second").alias("other"),
+            )
+            classes = stage(classes, "classes")
+            more = {r["cid"]: r["second"] for r in classes.where("second <> other").select("cid", "second").collect()}  # as good as none: 64-bit hashes that collide
+            if not more:
+                break
+            clashes |= more
+            discard(rows, classes)
+        coarse = stage(bucketed(coarse_rows(docs, clashes)), "coarse")
+        hot = coarse.where("b is null").select("sig", F.col("a").alias("cid"))
+        first = stage(sifted(coarse.where("b is not null").select("a", "b").distinct(), classes), "pairs")
+        crowd = stage(unresolved(hot), "crowd")
+        wanted = crowd.unionByName(first.select(F.explode(F.array("a", "b")).alias("cid"))).distinct()
+        texts = stage(texts_of(docs, classes, wanted), "texts")
+        pairs, poor = [first], crowd
+        for emitted in ("low", "n"):
+            own = texts.join(small(poor, FEW_IDS), "cid", "left_semi")
+            fine = stage(bucketed(fine_rows(own, half=emitted == "low"), FINE_BUCKET), "fine")
+            pairs.append(stage(sifted(fine.where("b is not null").select("a", "b").distinct(), classes), "pairs"))
+            poor = stage(poor_classes(classes, poor, fine, emitted), "poor")
+            discard(fine)
+        edges = verified(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct(), texts)
+        edges = within_hot(stage(hot.join(poor, "cid", "left_semi"), "members"), edges, texts)
+        named = _with_roots(classes.select("cid", "doc"), "cid", edges)
+        names = named.groupBy("root").agg(F.min("doc").alias("component"))
+        by_class = named.join(names, "root").select("cid", "root", "component")
+        out = rows.join(by_class, "cid", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), "root", F.coalesce("component", "doc_id").alias("component_id"))
+        return hand_on(out, "near-duplicates")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, th, n_shingles, component_id) per row of ``docs``; th is the xxhash64 of the text."""
-    spark = docs.sparkSession
-    rows = stage(describe(docs), "rows")
-    classes = stage(rows.where("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("low").alias("low"), F.any_value("sketch").alias("sketch")), "classes")
-    coarse = stage(bucketed(coarse_rows(docs)), "coarse")
-    release(spark)
-    hot = coarse.where("b is null").select("sig", F.col("a").alias("cid"))
-    pairs = stage(sifted(coarse.where("b is not null").select("a", "b").distinct(), classes), "pairs")
-    crowd = stage(hot.select("cid").distinct(), "crowd")
-    wanted = crowd.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("cid"))).distinct()
-    texts = stage(texts_of(docs, classes, wanted), "texts")
-    pairs, poor = [pairs], crowd
-    for emitted in ("low", "n"):
-        own = texts.join(small(poor, FEW_IDS), "cid", "left_semi")
-        fine = stage(bucketed(fine_rows(own, half=emitted == "low"), FINE_BUCKET), "fine")
-        release(spark)
-        pairs.append(stage(sifted(fine.where("b is not null").select("a", "b").distinct(), classes), "pairs"))
-        poor = stage(poor_classes(classes, poor, fine, emitted), "poor")
-    edges = verified(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct(), texts)
-    edges = within_hot(stage(hot.join(poor, "cid", "left_semi"), "members"), edges, texts)
-    release(spark)
-    named = _with_roots(classes.select("cid", "doc"), "cid", edges)
-    names = named.groupBy("root").agg(F.min("doc").alias("component"))
-    by_class = named.join(names, "root").select("cid", "component")
-    return rows.join(by_class, "cid", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return _grouped(docs).drop("root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one that names its component.
+    """``docs`` with one row of each group of near duplicates, that of the smallest id (then of the smallest hash of its text).
 
-    Texts without words have no duplicates and stay. Rows that repeat id and text count as one.
+    A null id is kept only where no other is in the group. Rows that repeat id and text count as one and one
+    of them stays, the first by its other columns. Texts without words have no duplicates and all stay.
     """
-    found = near_duplicates(docs).where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    th = fresh(docs, "text_hash")
-    rows = docs.withColumn(th, F.xxhash64("text"))
-    gone = small(found, FEW_IDS)
-    return rows.join(gone, (rows[th] == gone["gone_th"]) & rows["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    rows = _grouped(docs).where("root is not null")
+    nulls_last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    keepers = rows.groupBy("root").agg(F.min(nulls_last).alias("kept"))
+    gone = rows.join(keepers, "root").where(nulls_last != F.col("kept")).select("doc_id", "th", F.lit(True).alias("gone"))
+    again = rows.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th", F.lit(False).alias("gone"))
+    marks = gone.unionByName(again).groupBy("doc_id", "th").agg(F.max("gone").alias("is_gone"))
+    names = {k: fresh(docs, k) for k in ("text_hash", "own_id", "is_gone", "place", "of_id", "of_th")}
+    marks = small(stage(marks, "marks"), FEW_IDS).toDF(names["of_id"], names["of_th"], names["is_gone"])
+    own = docs.withColumn(names["text_hash"], F.xxhash64("text")).withColumn(names["own_id"], F.col("doc_id").cast("long"))
+    marked = own.join(marks, (F.col(names["text_hash"]) == F.col(names["of_th"])) & F.col(names["own_id"]).eqNullSafe(F.col(names["of_id"])), "left")
+    columns = [f"`{c}`" for c in docs.columns]
+    single = marked.where(F.col(names["is_gone"]).isNull()).select(*columns)
+    orderly = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = Window.partitionBy(names["own_id"], names["text_hash"]).orderBy(*orderly)
+    repeated = marked.where(~F.col(names["is_gone"])).withColumn(names["place"], F.row_number().over(order))
+    return single.unionByName(repeated.where(F.col(names["place"]) == 1).select(*columns))

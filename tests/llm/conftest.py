@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import sys
+from pathlib import Path
+
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-LOREM = "the committee met on monday to discuss the budget for roads bridges and schools and after a long debate agreed that every district should first publish what it spends each year before asking for more money from the common fund which had been growing slowly since the reform"
 
 
 @pytest.fixture(scope="session")

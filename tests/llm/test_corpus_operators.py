@@ -7,7 +7,7 @@ import random
 import re
 
 import pytest
-from conftest import LOREM
+from corpus_text import LOREM
 from pyspark.sql import functions as F
 
 from reelflow.llm import decontaminate, line_dedup, mixing, ngram_join, partenum, quality_rules, shingles, warc_fixity
@@ -191,7 +191,7 @@ def test_near_duplicates_equal_brute_force(docs):
     passage = prose(77, 60)
     rows += [(nid + i, prose(1000 + i, 10 + 3 * i) + " " + passage) for i in range(25)]
     big = prose(5, 120)
-    rows += [(500 + i, edited(big, 1, 500 + i)) for i in range(40)]
+    rows += [(500 + i, edited(big, 1 + i % 4 * 5, 500 + i)) for i in range(90)]
     rows += [(600, big), (600, big), (601, None), (602, ""), (603, " \n"), (604, "One two"), (605, "one TWO"), (606, "two one"), (None, big), (None, "alone " + prose(9, 40))]
     got = ngram_join.near_duplicates(docs([(*r, "en", "s", 3) for r in rows], ", cid int")).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == brute_components(rows)
@@ -222,13 +222,36 @@ def test_similar_sets_share_a_signature():
                 continue
             h, sizes = np.concatenate((a, b)), np.array([len(a), len(b)])
             sig, own = partenum.signatures(h, sizes)
-            assert {*sig[own == 0].tolist()} & {*sig[own == 1].tolist()}
-            words = min(len(x) for x in (partenum.parity(a, len(a)), partenum.parity(b, len(b)))) // 8
-            x, y = (partenum.fold_parity(partenum.parity(s, len(s)), words) for s in (a, b))
+            shared = {*sig[own == 0].tolist()} & {*sig[own == 1].tolist()}
+            tags = [int(x) & partenum.TAG for x in shared]
+            assert any(tags.count(t) > partenum.slacks()[t >> 2] for t in tags)
+            bits = [partenum.parity(s, len(s)) for s in (a, b)]
+            x, y = partenum.fold_parities(bits, min(map(len, bits)) // 8)
             assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
             assert partenum.may_match(partenum.sketch(a, len(a)), partenum.sketch(b, len(b)), len(a), len(b))
 
 
+def test_classes_whose_hashes_collide_are_told_apart():
+    h, sizes = shingles.shingle_sets([b"a b c d e f", b"", b"g h i", b"g h i"])
+    cids, second = ngram_join._told_apart(h, sizes, {})
+    assert cids[1] == 0 and cids[2] == cids[3] != cids[0] and second[2] == second[3] != cids[2]
+    again, _ = ngram_join._told_apart(h, sizes, {int(cids[2]): int(second[0]), int(cids[0]): int(second[0])})
+    assert again.tolist() == [cids[0], 0, second[2], second[2]]
+
+
+def test_one_row_of_each_group_stays(docs):
+    rows = []
+    for g in range(3):
+        text = prose(40 + g, 60)
+        rows += [(g, text), (g, edited(text, 1, g)), (None, prose(80 + g, 60)), (None, edited(prose(80 + g, 60), 1, g)), (20 + g, text), (g, text)]
+    rows += [(9, None), (9, None), (9, ""), (30, "same words here"), (30, "same words here")]
+    table = docs([(*r, "en", "s", 7, k % 5) for k, r in enumerate(rows)], ", gone boolean, of_id int".replace("gone boolean", "gone int"))
+    out = ngram_join.keep_one(table)
+    assert out.columns == table.columns
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect())
+    assert kept == sorted([(False, g) for g in range(3)] + [(True, 0)] * 3 + [(False, 9)] * 3 + [(False, 30)])
+
+
 def test_shingle_hashes_follow_words():
     h, n = shingles.shingle_sets([b"A b c d e f", b"a B\tc\nd  e f ", b"", b"a b", b"b a", b"a", b"x y z v w x y z v w"])
     ends = n.cumsum()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from test_queries import pii_spans, secret_spans
+from test_corpus_queries import pii_spans, secret_spans
 
 from reelflow.llm import licenses, pii, secrets, url_filter
 
