@@ -4,14 +4,15 @@ A source's target is its share by weight of ``factor`` times all words, at most
 own words, the excess being shared again by weight. Whole epochs are taken first; the rest comes
 from the documents with the smallest keys -ln(u) / quality, u being uniform from a hash of the id.
 
-No source is sorted in one task: keys fall into ``BUCKETS`` ranges, sums per source and range are
-combined before the shuffle, their prefix sums find the range in which the budget ends, and only
+No source is sorted in one task: keys fall into ranges of about ``PER_BUCKET`` documents, sums per source and
+range are combined before the shuffle, their prefix sums find the range in which the budget ends, and only
 that range is sorted. The result is a cut (key and tie-breakers) per source; the verdict on each
 document is then a row-wise comparison. The document at the cut gives the words still missing.
 
 Nulls and ties: a null text has size 0; a null source is the last source; a null id hashes as the
 empty string. Equal keys are ordered by id, size and hash of the text; rows that agree in all of
 these share what is left equally, rounded down. Same rows, same result, in any order or partitioning.
+An empty table gives an empty result; a text of any length is one row; columns of the caller are kept.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ WEIGHTS = (5, 2, 1)
 FACTOR = (3, 2)
 CAP = 2
 SEED = "mix-1"
-BUCKETS = 4096
+#: Documents of a range of keys, about, and ranges at least and at most. They change no result.
+PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 12, 1 << 22
 #: Sources whose plan is broadcast; beyond it the join is left to Spark.
 FEW_SOURCES = 20_000
 
@@ -44,12 +46,17 @@ def sampling_key(doc_id: Column, size: Column, symbols: Column, seed: str = SEED
 
 
 def measured(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` plus ``mix``: struct<source, size, key, doc, tie, bucket>. Narrow."""
+    """``docs`` plus ``mix``: struct<source, size, doc, tie, key>. Narrow; reads each text once."""
     size, symbols = size_of(F.col("text")), F.coalesce(F.regexp_count("text", F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long")
     df = docs.withColumn("mix", F.struct(F.col("source").alias("source"), size.alias("size"), symbols.alias("symbols"), F.col("doc_id").cast("string").alias("doc"), F.xxhash64("text").alias("tie")))
     m = F.col("mix")
-    df = df.withColumn("mix", m.withField("key", sampling_key(m["doc"], m["size"], m["symbols"], seed)))
-    return df.withColumn("mix", m.withField("bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-m["key"])))).cast("int")).dropFields("symbols"))
+    return df.withColumn("mix", m.withField("key", sampling_key(m["doc"], m["size"], m["symbols"], seed)).dropFields("symbols"))
+
+
+def in_buckets(keys: DataFrame) -> DataFrame:
+    """``keys`` (the fields of ``mix``) with ``bucket``, the range of each key."""
+    n = min(MOST_BUCKETS, max(LEAST_BUCKETS, keys.count() // PER_BUCKET))
+    return keys.withColumn("bucket", F.least(F.lit(n - 1), F.floor(n * (1 - F.exp(-F.col("key"))))).cast("int"))
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: tuple[int, int] = FACTOR, cap: int = CAP) -> DataFrame:
@@ -104,19 +111,20 @@ def taken(mix: Column, epochs: Column, cut: Column, part: Column) -> Column:
 def mix(docs: DataFrame, seed: str = SEED, keep_text: bool = True, **how) -> DataFrame:
     """``docs`` with ``mixed``: struct<size, source_size, target, taken>. ``how``: weights, factor, cap.
 
-    Without ``keep_text`` the text is read once and the result has doc_id and ``mixed`` only.
+    Each text is read once. Without ``keep_text`` the result has doc_id and ``mixed`` only.
     """
-    slim = measured(docs.select("doc_id", "source", "text"), seed).select("doc_id", "mix")
-    slim = stage(slim, "keys")
-    names = {k: fresh(docs, k) for k in ("mix", "mixed")}
-    by_source = plan(slim.select("mix.*"), **how)
-    rows = slim if not keep_text else _with_mix(docs, seed, names["mix"])
+    name, mixed = fresh(docs, "mix"), fresh(docs, "mixed")
+    rows = _with_mix(docs, seed, name) if keep_text else measured(docs.select("doc_id", "source", "text"), seed).select("doc_id", F.col("mix").alias(name))
+    rows = stage(rows, "measured")
+    m = F.col(name)
+    by_source = plan(in_buckets(rows.select(f"{name}.*")), **how)
     key, plan_name = fresh(rows, "mix_source"), fresh(rows, "mix_plan")
-    table = small(by_source.select(F.col("source").alias(key + "_r"), F.struct("source_size", "target", "epochs", "cut", "part").alias(plan_name)), FEW_SOURCES)
-    m, p = F.col(names["mix"] if keep_text else "mix"), F.col(plan_name)
-    joined = rows.join(table, m["source"].eqNullSafe(table[key + "_r"]), "left")
+    table = by_source.select(F.col("source").alias(key), F.struct("source_size", "target", "epochs", "cut", "part").alias(plan_name))
+    table = small(table, FEW_SOURCES)
+    p = F.col(plan_name)
+    joined = rows.join(table, m["source"].eqNullSafe(table[key]), "left")
     made = F.struct(m["size"].alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), taken(m, p["epochs"], p["cut"], p["part"]).alias("taken"))
-    return joined.select(*([F.col(f"`{c}`") for c in docs.columns] if keep_text else ["doc_id"]), made.alias(names["mixed"]))
+    return joined.select(*([F.col(f"`{c}`") for c in docs.columns] if keep_text else ["doc_id"]), made.alias(mixed))
 
 
 def _with_mix(docs: DataFrame, seed: str, name: str) -> DataFrame:

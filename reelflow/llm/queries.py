@@ -32,7 +32,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
     leak = F.col("leak")
     marked = decontaminate.mark(docs, benchmark).select("doc_id", "leak")
-    return marked.select("doc_id", leak["n_words"].alias("n_words"), decontaminate.hit_words(leak).alias("n_hit"), F.size(leak["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(leak["items"], ","), 256).alias("items_sha256"), decontaminate.contaminated(leak).alias("contaminated"))
+    return marked.select(
+        "doc_id",
+        leak["n_words"].alias("n_words"),
+        decontaminate.hit_words(leak).alias("n_hit"),
+        F.size(leak["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(leak["items"], ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(leak).alias("contaminated"),
+    )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

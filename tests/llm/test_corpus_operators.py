@@ -119,27 +119,44 @@ def test_decontamination(spark, docs):
         assert got[3] == (4, [(1, 4)], [])
         assert got[4] == got[5] == (0, [], []) and got[6] == (3, [], [])
         assert got[7] == (215, [(200, 215)], ["b1"])
-    kept = sorted(r["doc_id"] for r in decontaminate.clean(table, bench).collect())
-    assert kept == [4, 5, 6, 8]
-    cut = {r["doc_id"]: r["text"] for r in decontaminate.clean(table, bench, spans_only=True).collect()}
-    assert cut[1] == "before  after" and cut[6] == "alpha beta gamma" and cut[4] is None
+    for block in (1 << 20, 40):
+        kept = {r["doc_id"]: r for r in decontaminate.clean(table, bench, block_bytes=block, flag="cut").collect()}
+        assert sorted(kept) == [4, 5, 6, 8]
+        assert kept[8]["text"] == prose(2, 5000) + " " and [kept[d]["cut"] for d in (4, 5, 6, 8)] == [False, False, False, True]
+        cut = {r["doc_id"]: r["text"] for r in decontaminate.clean(table, bench, spans_only=True, block_bytes=block).collect()}
+        assert cut[1] == "before  after" and cut[6] == "alpha beta gamma" and cut[4] is None
     assert decontaminate.mark(docs([]), bench).count() == 0
     assert decontaminate.clean(table, bench.limit(0)).count() == len(rows)
 
 
+def test_no_window_is_left_where_words_come_together(docs, spark):
+    long = prose(9, 13).split()
+    bench = spark.createDataFrame([("a", "short item"), ("b", "x y z"), ("c", " ".join(long))], "item_id string, text string")
+    nested = "short short item item x short item y z and " + " ".join([*long[:5], "x", "y", "z", *long[5:]])
+    table = docs([(1, nested + " " + prose(3, 900)), (2, " ".join(long) + " " + prose(4, 900)), (3, prose(5, 30))], "")
+    table = table.withColumn("leak", F.lit(1))
+    for block in (1 << 20, 20):
+        out = decontaminate.clean(table, bench, block_bytes=block)
+        assert out.columns == table.columns
+        left = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert sorted(left) == [1, 3] and left[1].split() == ["and", *prose(3, 900).split()] and left[3] == prose(5, 30)
+        assert decontaminate.mark(out, bench).where(F.size("_leak.spans") > 0).count() == 0
+
+
 # --- line dedup ----------------------------------------------------------------------------------
 
 
 def test_line_dedup(docs):
     shared, short = "A line of forty characters, or a few more", "short line"
     table = [(i, f"  {shared.upper() if i % 2 else shared}\t\n{short}\nown {i}") for i in range(5)] + [(9, f"{shared}\n{shared}"), (9, shared), (None, shared), (20, None), (21, ""), (22, "é" * 39)]
-    out = line_dedup.drop_shared_lines(docs([(*r, "en", "s", 1) for r in table], ", lost_lines int")).collect()
-    got: dict = {}
-    for r in out:
-        got.setdefault(r["doc_id"], []).append((r["text"], r["line_counts"]["n_dropped"]))
-    assert got[0] == [("short line\nown 0", 1)]
-    assert sorted(got[9]) == [(shared, 0), (f"{shared}\n{shared}", 0)] and got[None] == [(shared, 0)]
-    assert got[20] == [(None, 0)] and got[21] == [("", 0)]
+    for few in (line_dedup.FEW_KEYS, 0):
+        out = line_dedup.drop_shared_lines(docs([(*r, "en", "s", 1) for r in table], ", lost_lines int"), few=few).collect()
+        got: dict = {}
+        for r in out:
+            got.setdefault(r["doc_id"], []).append((r["text"], r["line_counts"]["n_dropped"]))
+        assert got[0] == [("short line\nown 0", 1)]
+        assert sorted(got[9]) == [(shared, 0), (f"{shared}\n{shared}", 0)] and got[None] == [(shared, 0)]
+        assert got[20] == [(None, 0)] and got[21] == [("", 0)]
     assert line_dedup.drop_shared_lines(docs([])).count() == 0
 
 
@@ -329,8 +346,9 @@ def test_pipeline_equals_brute_force(spark, sf, real):
     for d, t in texts.items():
         w = word.findall(t.translate(lower))
         hit = {i + j for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for j in range(n)}
-        if not (hit and 20 * len(hit) >= len(w)):
+        if not hit:  # the items of this table all have 13 words and more
             clean[d] = t
+    assert min(map(len, windows)) == 13
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"]: r["text"] for r in out} == clean
     assert all(r["n_chars"] == len(r["text"]) for r in out)
@@ -340,11 +358,14 @@ def test_pipeline_equals_brute_force(spark, sf, real):
 def test_stages_keep_columns_and_odd_rows(spark, docs, sf):
     import corpus_pipeline
 
-    table = docs([(1, prose(1, 80), "en", "a", 1), (1, prose(1, 80), "en", "a", 1), (2, None, None, None, 2), (3, "", "en", "a", 3)], ", kept int")
-    for _, f in corpus_pipeline.STAGES[:-1]:
+    extra = ("kept", "quality_counts", "line_counts", "lost_lines", "leak", "was_cut", "mix", "mixed", "size", "target", "is_gone", "of_id")
+    rows = [(1, prose(1, 80), "en", "a"), (1, prose(1, 80), "en", "a"), (2, None, None, None), (3, "", "en", "a"), (4, prose(4, 60_000), "en", "a")]
+    table = docs([(*r, *range(len(extra))) for r in rows], "".join(f", {c} int" for c in extra))
+    left = {"quality rules": [1, 1, 4], "line dedup": [1, 1, 2, 3, 4], "near duplicates": [1, 2, 3, 4], "decontamination": [1, 1, 2, 3, 4], "mixing": [1, 1, 2, 3, 4]}
+    for name, f in corpus_pipeline.STAGES:
         out = f(spark, table, sf)
-        assert out.columns == table.columns
-        assert out.where("doc_id = 1").count() > 0
-    assert corpus_pipeline.STAGES[-1][1](spark, table, sf).count() == 4
-    for _, f in corpus_pipeline.STAGES:
+        assert out.columns[: len(table.columns)] == table.columns and (name == "mixing" or out.columns == table.columns)
+        got = out.collect()
+        assert sorted(r["doc_id"] for r in got) == left[name]
+        assert all(r["text"] in {x[1] for x in rows} and r["size"] == extra.index("size") for r in got)
         assert f(spark, table.limit(0), sf).count() == 0
