@@ -3,17 +3,21 @@
 A notice of n characters may differ in k = n / ``PER_EDIT`` edits. Cut into k + 1 pieces, one piece must
 occur unchanged; one Aho-Corasick automaton finds all pieces of all notices, and around its hits Myers'
 bit-parallel edit distance finds all ends of matches. Of matches of a notice that overlap, the one with the
-fewest edits is reported, then the one that ends first, then the shortest; what it leaves free to its left
-and right is searched on.
+fewest edits is chosen, then the one that ends first, then the shortest; what it leaves free to its left
+and right is searched on. A match counts only if the words that tell its license from others stand in it
+unchanged and in order: the edits allowed are for the rest. A match that lies within another one with no more
+edits, of another license, gives way to it ("cc by" within "cc by sa").
 
 Texts are compared as normalised words (A-Z lower-cased, other ASCII separators dropped) joined by a
 space. A null text has no words. Each row is judged alone: repeats and ties need no rule. Candidates are
-windows of a notice's length, so a long text costs in proportion to its length and hits.
+windows of a notice's length, so a long text costs in proportion to its length and hits. An empty list of
+notices leaves the phrases, an empty table gives an empty result; columns other than doc_id and text are not returned.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,24 +30,75 @@ from reelflow.llm.decontaminate import words_of
 
 #: Phrases and their labels. Fixed values.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Short notices as licenses and their users word them, normalised, and their labels.
-NOTICES = (
-    ("licensed under the apache license version 2 0", "apache"),
-    ("you may not use this file except in compliance with the license", "apache"),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("released under the mit license", "mit"),
-    ("this program is free software you can redistribute it and or modify it", "gpl"),
-    ("licensed under the gnu general public license version", "gpl"),
-    ("gnu lesser general public license", "lgpl"),
-    ("gnu affero general public license", "agpl"),
-    ("redistribution and use in source and binary forms with or without modification", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
-    ("permission to use copy modify and or distribute this software for any purpose", "isc"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("creative commons attribution noncommercial", "cc-by-nc"),
-    ("creative commons attribution share alike", "cc-by-sa"),
-    ("all rights reserved no part of this publication may be reproduced", "proprietary"),
+#: Short notices as licenses and their users word them, normalised: label, words that must stand in the match as they
+#: are (they tell the license from others; the notice's edits are for the rest), notice.
+NOTICES: tuple[tuple[str, str, str], ...] = (
+    ("apache", "apache", "licensed under the apache license version 2 0"),
+    ("apache", "apache", "released under the apache license version 2 0"),
+    ("apache", "apache", "distributed under the apache license"),
+    ("apache", "compliance license", "you may not use this file except in compliance with the license"),
+    ("mit", "mit", "released under the mit license"),
+    ("mit", "mit", "licensed under the mit license"),
+    ("mit", "mit", "distributed under the mit license"),
+    ("mit", "mit", "the mit license mit"),
+    ("mit", "permission granted", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "copyright notice", "the above copyright notice and this permission notice shall be included in all copies"),
+    ("gpl", "free software", "this program is free software you can redistribute it and or modify it"),
+    ("gpl", "gnu general", "under the terms of the gnu general public license"),
+    ("gpl", "gnu general", "licensed under the gnu general public license version"),
+    ("gpl", "gnu general", "you should have received a copy of the gnu general public license"),
+    ("gpl", "gpl", "licensed under the gpl license"),
+    ("gpl", "gpl", "released under the gpl license"),
+    ("gpl-2", "gplv2", "licensed under the gplv2"),
+    ("gpl-3", "gplv3", "licensed under the gplv3"),
+    ("lgpl", "lesser", "gnu lesser general public license"),
+    ("lgpl", "library", "gnu library general public license"),
+    ("lgpl", "lgpl", "licensed under the lgpl license"),
+    ("agpl", "affero", "gnu affero general public license"),
+    ("agpl", "agpl", "licensed under the agpl license"),
+    ("fdl", "documentation", "gnu free documentation license"),
+    ("bsd", "bsd", "released under the bsd license"),
+    ("bsd", "bsd", "licensed under the bsd license"),
+    ("bsd", "bsd", "use of this source code is governed by a bsd style license"),
+    ("bsd", "source binary", "redistribution and use in source and binary forms with or without modification"),
+    ("bsd-2", "bsd 2", "licensed under the bsd 2 clause license"),
+    ("bsd-3", "bsd 3", "licensed under the bsd 3 clause license"),
+    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "mozilla", "licensed under the mozilla public license"),
+    ("mpl", "mpl", "released under the mpl license"),
+    ("epl", "eclipse", "licensed under the eclipse public license"),
+    ("epl", "eclipse", "made available under the terms of the eclipse public license"),
+    ("eupl", "european union", "licensed under the european union public licence"),
+    ("cddl", "development distribution", "common development and distribution license"),
+    ("artistic", "artistic", "licensed under the artistic license"),
+    ("isc", "copy modify", "permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", "isc", "licensed under the isc license"),
+    ("zlib", "zlib", "licensed under the zlib license"),
+    ("zlib", "express implied", "this software is provided as is without any express or implied warranty"),
+    ("boost", "boost", "distributed under the boost software license"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("public-domain", "public domain", "this work is in the public domain"),
+    ("public-domain", "public domain", "has been released into the public domain"),
+    ("cc0", "cc0", "licensed under cc0 1 0 universal"),
+    ("cc0", "dedicated public domain", "has dedicated the work to the public domain"),
+    ("wtfpl", "fuck", "do what the fuck you want to public license"),
+    ("cc-by", "by", "licensed under cc by 4 0"),
+    ("cc-by", "attribution 4", "creative commons attribution 4 0 international"),
+    ("cc-by", "attribution", "licensed under a creative commons attribution license"),
+    ("cc-by-sa", "by sa", "licensed under cc by sa 4 0"),
+    ("cc-by-sa", "share alike", "creative commons attribution share alike"),
+    ("cc-by-sa", "sharealike", "creative commons attribution sharealike"),
+    ("cc-by-nc", "by nc 4", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial"),
+    ("cc-by-nd", "by nd", "licensed under cc by nd 4 0"),
+    ("cc-by-nd", "noderivatives", "creative commons attribution noderivatives"),
+    ("cc-by-nc-sa", "by nc sa", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nc-nd", "by nc nd", "licensed under cc by nc nd 4 0"),
+    ("ofl", "open font", "licensed under the sil open font license"),
+    ("odbl", "database", "made available under the open database license"),
+    ("proprietary", "reserved reproduced", "all rights reserved no part of this publication may be reproduced"),
+    ("proprietary", "proprietary confidential", "this file is proprietary and confidential"),
+    ("proprietary", "unauthorized copying", "unauthorized copying of this file via any medium is strictly prohibited"),
 )
 PER_EDIT = 10
 
@@ -59,17 +114,18 @@ def pieces_of(notice: str, edits: int) -> list[tuple[int, str]]:
 
 
 @functools.lru_cache(maxsize=4)
-def searcher(notices: tuple[tuple[str, str], ...] = NOTICES):
-    """(automaton of pieces to (notice, offset), finder per notice)."""
+def searcher(notices: tuple[tuple[str, str, str], ...] = NOTICES):
+    """(automaton of pieces to (notice, offset), finder per notice, pattern of its exact words)."""
     seeds: dict[str, list[tuple[int, int]]] = {}
-    for i, (notice, _) in enumerate(notices):
+    for i, (_, _, notice) in enumerate(notices):
         for offset, piece in pieces_of(notice, edits_of(notice)):
             seeds.setdefault(piece, []).append((i, offset))
     automaton = ahocorasick.Automaton()
     for piece, owners in seeds.items():
         automaton.add_word(piece, (len(piece), owners))
     automaton.make_automaton()
-    return automaton, [Finder(notice, edits_of(notice)) for notice, _ in notices]
+    exact = [re.compile(".*?".join(rf"(?<!\S){re.escape(w)}(?!\S)" for w in words.split()), re.DOTALL) for _, words, _ in notices]
+    return automaton, [Finder(notice, edits_of(notice)) for _, _, notice in notices], exact
 
 
 def _masks(notice: str) -> dict[str, int]:
@@ -159,9 +215,11 @@ class Finder:
         return sorted(out)
 
 
-def fuzzy_notices(text: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[int, int, int, int]]:
+def fuzzy_notices(text: str, notices: tuple[tuple[str, str, str], ...] = NOTICES) -> list[tuple[int, int, int, int]]:
     """(notice, start, end, edits) of notices in a normalised text, by notice and start; those of a notice never overlap."""
-    automaton, finders = searcher(notices)
+    if not notices:
+        return []
+    automaton, finders, exact = searcher(notices)
     windows: dict[int, list[tuple[int, int]]] = {}
     for end, (size, owners) in automaton.iter(text):
         for i, offset in owners:
@@ -176,8 +234,33 @@ def fuzzy_notices(text: str, notices: tuple[tuple[str, str], ...] = NOTICES) ->
             else:
                 merged.append([a, b])
         for a, b in merged:
-            found += [(i, *x) for x in finders[i].spans(text, a, b)]
-    return found
+            found += [(i, *x) for x in finders[i].spans(text, a, b) if exact[i].search(text, _word_start(text, x[0]), _word_end(text, x[1]))]
+    return _nearest(found, notices)
+
+
+def _word_start(text: str, at: int) -> int:
+    """Where the word that ``at`` cuts begins."""
+    return text.rfind(" ", 0, at + 1) + 1
+
+
+def _word_end(text: str, at: int) -> int:
+    end = text.find(" ", at - 1)
+    return len(text) if end < 0 else end
+
+
+def _nearest(found: list[tuple[int, int, int, int]], notices: tuple[tuple[str, str, str], ...]) -> list[tuple[int, int, int, int]]:
+    """Without matches that overlap one of another license that is nearer: fewer edits, then longer."""
+    rank = lambda x: (x[3], x[1] - x[2], x[0])
+    by_start = sorted(found, key=lambda x: (x[1], x[2]))
+    beaten: set[tuple[int, int, int, int]] = set()
+    live: list[tuple[int, int, int, int]] = []
+    for x in by_start:
+        live = [y for y in live if y[2] > x[1]]
+        for y in live:
+            if notices[x[0]][0] != notices[y[0]][0]:
+                beaten.add(max(x, y, key=rank))
+        live.append(x)
+    return [x for x in found if x not in beaten]
 
 
 def phrase_starts(words: list[bytes], text: bytes) -> list[tuple[int, str]]:
@@ -194,7 +277,7 @@ def phrase_starts(words: list[bytes], text: bytes) -> list[tuple[int, str]]:
     return out
 
 
-def find_licenses(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
+def find_licenses(docs: DataFrame, notices: tuple[tuple[str, str, str], ...] = NOTICES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, notices) per row.
 
     ``notices``: label:first word:last word:edits of each fuzzy match, comma-joined. ``score``: 1 for a
@@ -211,9 +294,9 @@ def find_licenses(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICE
                 text = joined.decode("latin-1")
                 fuzzy = fuzzy_notices(text, notices)
                 starts, labels = [w for w, _ in base], {x for _, x in base}
-                every = labels | {notices[i][1] for i, *_ in fuzzy}
-                best = 1.0 if base else max((1 - e / len(notices[i][0]) for i, _, _, e in fuzzy), default=0.0)
-                where = ",".join(f"{notices[i][1]}:{text.count(' ', 0, a)}:{text.count(' ', 0, b)}:{e}" for i, a, b, e in fuzzy)
+                every = labels | {notices[i][0] for i, *_ in fuzzy}
+                best = 1.0 if base else max((1 - e / len(notices[i][2]) for i, _, _, e in fuzzy), default=0.0)
+                where = ",".join(f"{notices[i][0]}:{text.count(' ', 0, a)}:{text.count(' ', 0, b)}:{e}" for i, a, b, e in fuzzy)
                 row = (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), best, where)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
