@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -155,6 +157,20 @@ def null_safe(df: DataFrame, other: DataFrame, on: list[str], how: str = "left")
     return df.join(other, cond, how).drop(*names.values())
 
 
+class Reach:
+    """How far spans reach that begin before a place, in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def end(self, before: int) -> int:
+        """The largest end of the spans that begin before ``before``; -1 without any."""
+        i = bisect_left(self.starts, before)
+        return self.ends[i - 1] if i else -1
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of whole rows with about ``most`` bytes of text each, and their texts as UTF-8 bytes (null: empty)."""
     for batch in batches:

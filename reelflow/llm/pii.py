@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.common import text_slices
+from reelflow.llm.common import Reach, text_slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 CRF_KINDS = ("name", "address", "id")
@@ -433,8 +433,8 @@ def find_personal_data(docs: DataFrame, model: Crf | None = None) -> DataFrame:
             sha, spans = [], []
             for text, more in zip(texts, crf_spans(model, texts), strict=True):
                 base = base_spans(text)
-                taken = [(a, b) for _, a, b in base]
-                more = [s for s in sorted(more, key=lambda s: (CRF_KINDS.index(s[0]), s[1])) if not any(a < s[2] and s[1] < b for a, b in taken)]
+                reach = Reach([(a, b) for _, a, b in base])
+                more = [s for s in sorted(more, key=lambda s: (CRF_KINDS.index(s[0]), s[1])) if reach.end(s[2]) <= s[1]]
                 every = code_points(text, base + more)
                 sha.append(hashlib.sha256(written(every[: len(base)]).encode()).hexdigest())
                 spans.append(written(every))
@@ -447,6 +447,29 @@ def find_personal_data(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def redacted(docs: DataFrame, model: Crf | None = None) -> DataFrame:
+    """``docs`` with each span of personal data in ``text`` replaced by its kind in brackets. Narrow; null stays null."""
+    model = model or default_model()
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_slices(batches):
+            new = rows.column(at).to_pylist()
+            for i, (text, more) in enumerate(zip(texts, crf_spans(model, texts), strict=True)):
+                base = base_spans(text)
+                out, last = [], 0
+                for k, a, b in sorted([*base, *more], key=lambda s: (s[1], -s[2])):
+                    if a >= last:  # of spans that overlap the first, the longest of those
+                        out += [text[last:a], b"[" + k.encode() + b"]"]
+                        last = b
+                if out:
+                    new[i] = b"".join([*out, text[last:]]).decode()
+            cols = [pa.array(new, c.type) if j == at else c for j, c in enumerate(rows.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=rows.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def redact(text: str, spans: str) -> str:
     """The text with each span of ``spans`` replaced by its kind in brackets."""
     parts = sorted(((int(a), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",") if s)), reverse=True)

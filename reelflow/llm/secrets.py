@@ -10,8 +10,8 @@ counts. Other names never take a literal with an inner space (but for ``Bearer``
 or of a single class of characters. A quoted literal that is not itself a span is lexed in turn, without its
 escapes and with names of its own (connection strings, embedded JSON).
 
-A null text is empty. Each row is judged alone: repeats and ties need no rule. Positions are in code
-points. Every operator is looked at once. Chains share what they have in common; only one that runs into
+A null text is empty, an empty table gives an empty result, columns other than doc_id and text are not returned.
+Each row is judged alone: repeats and ties need no rule. Positions are in code points. Every operator is looked at once. Chains share what they have in common; only one that runs into
 its own pairs again, in a text where it can still reach a literal, is followed for itself, at most once
 through each pair.
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.common import text_slices
+from reelflow.llm.common import Reach, text_slices
 from reelflow.llm.pii import code_points, written
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -57,7 +57,8 @@ _SCHEME = re.compile(r"(?i)^(?:bearer|basic|token) +")
 _OPERATOR = re.compile(rb":=|=>|==+|[:=]")
 _NAME = re.compile(rb"[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z0-9_$]+)*")
 _NAME_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
-_BARE = re.compile(rb"[A-Za-z0-9+/_.=~!@#%^&*-]{6,}")
+#: A bare value has no operator inside, so no part of a text is read for more than one name; base64 may end in two.
+_BARE = re.compile(rb"[A-Za-z0-9+/_.~!@#%^&*-]{6,}={0,2}")
 _GAP = re.compile(rb"[ \t]*")
 _PLUS = re.compile(rb"[ \t]*\+[ \t]*(?=[\"'])")
 #: Escapes that stand for themselves without the backslash, and all.
@@ -299,7 +300,8 @@ def literal_spans(text: bytes) -> list[Span]:
 def all_spans(text: bytes) -> tuple[list[Span], list[Span]]:
     """(spans of the patterns, those of patterns and method), by start, then kind as listed."""
     base = base_spans(text)
-    more = [s for s in literal_spans(text) if not any(a <= s[1] and s[2] <= b for _, a, b in base)]
+    reach = Reach([(a, b) for _, a, b in base])
+    more = [s for s in literal_spans(text) if reach.end(s[1] + 1) < s[2]]
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
