@@ -1,11 +1,13 @@
 """Verdicts on page addresses: host and path rules first, a weighted vocabulary for the rest.
 
-The vocabulary is one Aho-Corasick automaton. A term counts if no ASCII letter or digit stands
-right before or after it in the lower-cased address. One strict term, or ``SOFT_LIMIT`` different
-soft terms, block the address.
-
-Nulls: a null address, or one without ``://``, has empty host and path; a null address is allowed.
-Any row is judged alone, so repeats and ties need no rule.
+The vocabulary is one Aho-Corasick automaton. A term counts if no ASCII letter or digit stands right before or
+after it in the lower-cased address. The weights of the different terms found are added; ``LIMIT`` blocks the
+address: one strict term, or two or three different soft ones. The vocabulary and the rules are tables of the caller's;
+``TERMS`` is a short general list.
+
+Nulls: a null address, or one without ``://``, has empty host and path; a null address is allowed. Any row is judged
+alone, so repeats and ties need no rule. An empty vocabulary blocks nothing, an empty table gives an empty result,
+an address of any length is one row. Columns other than page_id and the address are not returned.
 """
 
 from __future__ import annotations
@@ -19,9 +21,14 @@ from pyspark.sql import functions as F
 
 #: (host/path, verdict); the longest rule that fits wins. Fixed values.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-STRICT = ("casino-win", "cheap-pills", "spam-farm", "porn", "xxx", "viagra", "escort", "hentai", "warez", "phishing")
-SOFT = ("adult", "sex", "casino", "bet", "poker", "pills", "cheap", "bonus", "free", "win", "spam", "crack", "torrent", "loan", "dating")
-SOFT_LIMIT = 2
+#: The weight that blocks an address; a term of that weight is strict.
+LIMIT = 6
+#: Terms by weight: strict ones, soft ones of which two block, soft ones of which three do.
+TERMS: dict[str, int] = dict.fromkeys(
+    ("porn", "porno", "xxx", "hentai", "escort", "escorts", "camgirls", "nsfw", "viagra", "cialis", "warez", "keygen", "phishing", "malware", "jackpot"), LIMIT
+) | dict.fromkeys(
+    ("adult", "sex", "sexy", "nude", "casino", "poker", "betting", "bet", "slots", "pills", "pharmacy", "spam", "crack", "cracked", "torrent", "torrents", "dating", "payday"), 3
+) | dict.fromkeys(("cheap", "bonus", "free", "win", "winner", "loan", "loans", "deal", "deals", "farm", "hot", "download", "click", "prize"), 2)
 
 
 def host_of(url: Column) -> Column:
@@ -45,12 +52,10 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def vocabulary(strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> ahocorasick.Automaton:
+def vocabulary(terms: dict[str, int]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
-    for term in soft:
-        automaton.add_word(term, (term, 0))
-    for term in strict:
-        automaton.add_word(term, (term, 1))
+    for term in terms:
+        automaton.add_word(term, term)
     automaton.make_automaton()
     return automaton
 
@@ -59,30 +64,32 @@ def _free(c: str) -> bool:
     return not (c.isascii() and c.isalnum())
 
 
-def terms_in(automaton: ahocorasick.Automaton, url: str | None) -> tuple[set[str], set[str]]:
-    """Strict and soft terms with free boundaries in the address."""
-    hits: tuple[set[str], set[str]] = (set(), set())
+def terms_in(automaton: ahocorasick.Automaton, url: str | None) -> set[str]:
+    """Terms with free boundaries in the address."""
     text = (url or "").encode().lower().decode()
-    for end, (term, strict) in automaton.iter(text):
+    hits: set[str] = set()
+    for end, term in automaton.iter(text) if len(automaton) else ():
         start = end + 1 - len(term)
         if (start == 0 or _free(text[start - 1])) and (end + 1 == len(text) or _free(text[end + 1])):
-            hits[1 - strict].add(term)
+            hits.add(term)
     return hits
 
 
-def judge(pages: DataFrame, url: str = "url", soft_limit: int = SOFT_LIMIT, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, strict_terms, soft_terms): the rule's verdict, else the vocabulary's."""
+def judge(pages: DataFrame, url: str = "url", terms: dict[str, int] = TERMS, limit: int = LIMIT, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """(page_id, host, path, rule, verdict, strict_terms, soft_terms, weight): the rule's verdict, else the vocabulary's."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = vocabulary(strict, soft)
+        automaton = vocabulary(terms)
         for rows in batches:
-            found = [terms_in(automaton, u) for u in rows.column(1).to_pylist()]
-            lists = [pa.array([sorted(f[i]) for f in found], pa.list_(pa.string())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *lists], names=["page_id", "url", "strict_terms", "soft_terms"])
+            found = [sorted(terms_in(automaton, u)) for u in rows.column(1).to_pylist()]
+            strict = pa.array([[t for t in f if terms[t] >= limit] for f in found], pa.list_(pa.string()))
+            soft = pa.array([[t for t in f if terms[t] < limit] for f in found], pa.list_(pa.string()))
+            weight = pa.array([sum(terms[t] for t in f) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), strict, soft, weight], names=["page_id", "url", "strict_terms", "soft_terms", "weight"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col(url).alias("url"))
-    seen = rows.mapInArrow(count, "page_id long, url string, strict_terms array<string>, soft_terms array<string>")
-    own = F.when((F.size("strict_terms") > 0) | (F.size("soft_terms") >= soft_limit), "block").otherwise("allow")
+    seen = rows.mapInArrow(count, "page_id long, url string, strict_terms array<string>, soft_terms array<string>, weight long")
+    own = F.when(F.col("weight") >= limit, "block").otherwise("allow")
     seen = seen.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     seen = seen.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    return seen.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"), "strict_terms", "soft_terms")
+    return seen.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"), "strict_terms", "soft_terms", "weight")
