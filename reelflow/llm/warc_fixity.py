@@ -8,13 +8,15 @@ level by level, down to the records: equal volumes cost one row each.
 A node hashes its children's lines in order of position, at most ``RANGE`` / the shortest record or
 ``FANOUT`` of them, so no group grows with the archive. Volumes hold ``VOLUME_PAGES`` consecutive ids.
 
-Nulls: a null url or html counts as empty; pages with a null id form volume -1. Repeated rows are records
-of their own, ordered by id, url, length and digest. An empty table has no volumes.
+Nulls: a null url or html counts as empty; pages with a null id are dealt by url over ``SPARE_VOLUMES`` volumes
+below zero. Repeated rows are records of their own, ordered by id, url, length and digest. An empty table has
+no volumes. A page of any length is one record. Columns other than page_id, url and html are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +29,8 @@ from reelflow.llm.common import stage
 VOLUME_PAGES = 4096
 RANGE = 1 << 16
 FANOUT = 16
+#: Volumes of pages without an id.
+SPARE_VOLUMES = 1024
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -36,6 +40,11 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
+def _spare(url: str) -> Column:
+    """The volume of a page without id, from -1 down, by its url."""
+    return -1 - F.conv(F.substring(F.md5(F.coalesce(F.col(url), F.lit(""))), 1, 4), 16, 10).cast("long") % SPARE_VOLUMES
+
+
 def leaves(pages: DataFrame, damage: Column | None = None) -> DataFrame:
     """(volume, offset, length, sha256, page_id) of the records of ``pages``.
 
@@ -46,7 +55,7 @@ def leaves(pages: DataFrame, damage: Column | None = None) -> DataFrame:
     size = F.octet_length(raw).cast("long")
     if damage is not None:
         raw = F.when(damage, F.concat(F.substring(raw, 1, F.octet_length(raw) - 5), F.lit("?\r\n\r\n").cast("binary"))).otherwise(raw)
-    rows = rows.select("page_id", "url", F.coalesce(F.floor(F.col("page_id") / VOLUME_PAGES), F.lit(-1)).cast("long").alias("volume"), size.alias("length"), F.sha2(raw, 256).alias("sha256"))
+    rows = rows.select("page_id", "url", F.coalesce(F.floor(F.col("page_id") / VOLUME_PAGES), _spare("url")).cast("long").alias("volume"), size.alias("length"), F.sha2(raw, 256).alias("sha256"))
     before = Window.partitionBy("volume").orderBy("page_id", "url", "length", "sha256").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("volume", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "sha256", "page_id")
 
@@ -71,13 +80,18 @@ def levels_for(*replicas: DataFrame) -> int:
 
 def _levels(records: DataFrame, n: int) -> list[DataFrame]:
     line = F.concat_ws(":", F.col("offset"), F.col("length"), F.col("sha256"))
-    out = [_nodes(records.select("volume", F.floor(F.col("offset") / RANGE).alias("node"), F.col("offset").alias("place"), line.alias("line")))]
+    out = [_level(records.select("volume", F.floor(F.col("offset") / RANGE).alias("node"), F.col("offset").alias("place"), line.alias("line")))]
     for _ in range(n - 1):
         below = out[-1]
-        out.append(_nodes(below.select("volume", F.floor(F.col("node") / FANOUT).alias("node"), F.col("node").alias("place"), F.concat_ws(":", "node", "digest").alias("line"))))
+        out.append(_level(below.select("volume", F.floor(F.col("node") / FANOUT).alias("node"), F.col("node").alias("place"), F.concat_ws(":", "node", "digest").alias("line"))))
     return out
 
 
+def _level(children: DataFrame) -> DataFrame:
+    """A level, staged: the next one and the descent read it, neither makes it anew."""
+    return stage(_nodes(children), "tree")
+
+
 def _nodes(children: DataFrame) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("place", "line")))
     return children.groupBy("volume", "node").agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("digest"))
@@ -97,10 +111,12 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
 def descend(primary: DataFrame, replica: DataFrame, mine: list[DataFrame], other: list[DataFrame]) -> DataFrame:
     """As ``audit``, with both trees given."""
-    bad = _differing(mine[-1], other[-1], ["volume", "node"])
+    bad = stage(_differing(mine[-1], other[-1], ["volume", "node"]), "differing")
+    if bad.isEmpty():  # equal roots: nothing below is looked at
+        mine, other, primary, replica = mine[-1:], other[-1:], primary.limit(0), replica.limit(0)
     for a, b in zip(mine[-2::-1], other[-2::-1], strict=True):
         below = [x.withColumn("up", F.floor(F.col("node") / FANOUT)).join(bad.withColumnRenamed("node", "up"), ["volume", "up"], "left_semi") for x in (a, b)]
-        bad = _differing(*below, ["volume", "node"])
+        bad = stage(_differing(*below, ["volume", "node"]), "differing")
     own, its = (x.withColumn("node", F.floor(F.col("offset") / RANGE)).join(bad, ["volume", "node"], "left_semi") for x in (primary, replica))
     both = own.select("volume", "offset", F.col("length").alias("length_a"), F.col("sha256").alias("a")).join(its.select("volume", "offset", F.col("length").alias("length_b"), F.col("sha256").alias("b")), ["volume", "offset"], "full")
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt")
@@ -114,7 +130,7 @@ def audited(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """
     primary, replica = stage(primary, "primary"), stage(replica, "replica")
     n = levels_for(primary, replica)
-    mine, other = [stage(x, "tree") for x in _levels(primary, n)], _levels(replica, n)
+    mine, other = _levels(primary, n), _levels(replica, n)
     bad = descend(primary, replica, mine, other).where("status <> 'extra'").select("volume", "offset", "status")
     rows = primary.withColumn("node", F.floor(F.col("offset") / RANGE))
     rows = rows.join(mine[0].withColumnRenamed("digest", "range_sha256"), ["volume", "node"]).join(mine[-1].select("volume", F.col("digest").alias("root_sha256")), "volume")
@@ -137,13 +153,32 @@ def split_records(data: bytes) -> Iterator[tuple[int, bytes]]:
         at = end
 
 
+def split_members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of each gzip member; what follows a broken one is one last piece."""
+    at = 0
+    while at < len(data):
+        member, end = zlib.decompressobj(31), at
+        try:
+            while not member.eof and end < len(data):
+                member.decompress(data[end : end + (1 << 16)])
+                end += 1 << 16
+            end = min(end, len(data)) - len(member.unused_data)
+        except zlib.error:
+            end = len(data)
+        yield at, data[at:end]
+        at = end
+
+
 def read_leaves(spark: SparkSession, folder: str) -> DataFrame:
-    """Leaves of the WARC volumes in ``folder``, named ``volume-<number>.warc``. A task holds one volume at a time."""
+    """Leaves of the WARC volumes in ``folder``, named ``volume-<number>.warc`` or ``.warc.gz`` (a member a record).
+
+    The digest is of the bytes as they are stored. A task holds one volume at a time.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
             for path, data in zip(files["path"], files["content"], strict=True):
                 volume = int(path.rsplit("volume-", 1)[1].split(".")[0])
-                rows = [(volume, at, len(x), hashlib.sha256(x).hexdigest()) for at, x in split_records(bytes(data))]
+                rows = [(volume, at, len(x), hashlib.sha256(x).hexdigest()) for at, x in (split_members if path.endswith(".gz") else split_records)(bytes(data))]
                 yield pd.DataFrame(rows, columns=["volume", "offset", "length", "sha256"])
 
     return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(run, "volume long, offset long, length long, sha256 string")
