@@ -24,9 +24,8 @@ def _quality() -> str:
         "repeat_share": share("n_repeat_words", "n_words"),
     }
     grid = ", ".join(f"('{r}', {c!r}, {i + 1})" for r, cs in rules.items() for i, c in enumerate(cs))
-    sig = " UNION ALL ".join(f"SELECT row_id, doc_id, stratum, base_failed, '{r}' AS rule, {s} AS signal FROM feat" for r, s in signals.items())
-    alpha, level = quality_rules.ALPHA / len(rules), quality_rules.DELTA / (len(rules) * (len(quality_rules.STRATA) + 1))
-    strata = ", ".join(f"'{x}'" for x in quality_rules.STRATA)
+    sig = " UNION ALL ".join(f"SELECT row_id, stratum, '{r}' AS rule, {s} AS signal FROM feat" for r, s in signals.items())
+    alpha, level = quality_rules.ALPHA / len(rules), quality_rules.DELTA / len(rules)
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT row_id, regexp_extract_all(text, '{_WORD}') AS words FROM docs),
@@ -35,19 +34,23 @@ twice AS (SELECT row_id, i FROM (SELECT *, count(*) OVER (PARTITION BY row_id, g
 covered AS (SELECT row_id, count(DISTINCT i + j) AS n FROM twice, generate_series(0, 2) AS g(j) GROUP BY 1),
 lines AS (SELECT row_id, x FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS x FROM docs) WHERE regexp_matches(x, '{_WORD}')),
 dup AS (SELECT row_id, count(*) AS n, count(*) - count(DISTINCT x) AS d FROM lines GROUP BY 1),
-feat0 AS (SELECT d.row_id, doc_id, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS stratum, len(words) AS n_words,
+feat0 AS (SELECT d.row_id, doc_id, lang, md5(text) AS text_md5, len(words) AS n_words,
   length(text) - len(regexp_extract_all(text, '[\\x20\\x09-\\x0D]')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
   coalesce(dup.d, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(dup.n, 0) AS n_lines,
   len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '[!?*]')) AS n_marks
   FROM docs d JOIN w USING (row_id) LEFT JOIN covered c USING (row_id) LEFT JOIN dup USING (row_id)),
-feat AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM feat0),
-sig AS ({sig}),
+feat1 AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM feat0),
 good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING max(quality) = 1),
+labelled AS (SELECT * FROM feat1 JOIN good USING (doc_id) WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY text_md5, lang NULLS FIRST) = 1),
+held AS (SELECT lang, min(row_id) AS row_id FROM labelled GROUP BY lang, text_md5),
+strata AS (SELECT lang FROM held WHERE lang IS NOT NULL GROUP BY 1 HAVING count(*) >= {quality_rules.LEAST_HOLDOUT} ORDER BY count(*) DESC, lang LIMIT {quality_rules.MOST_STRATA}),
+feat AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM strata) THEN lang ELSE '' END AS stratum FROM feat1),
+sig AS ({sig}),
 grid AS (SELECT * FROM (VALUES {grid}) AS t(rule, cutoff, step)),
 seen AS (SELECT s.stratum, s.rule, g.cutoff, g.step, count(*) AS n, count(*) FILTER (WHERE s.signal > g.cutoff) AS k
-  FROM sig s JOIN good USING (doc_id) JOIN grid g USING (rule) WHERE NOT base_failed GROUP BY ALL),
+  FROM sig s JOIN held USING (row_id) JOIN grid g USING (rule) GROUP BY ALL),
 tail AS (SELECT *, CASE WHEN k > n * {alpha!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r})))) END AS p FROM seen),
-ok AS (SELECT *, min(CASE WHEN p <= {level!r} THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS pass FROM tail),
+ok AS (SELECT *, min(CASE WHEN p <= {level!r} / (1 + (SELECT count(*) FROM strata)) THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS pass FROM tail),
 cut AS (SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM ok WHERE pass = 1 GROUP BY 1, 2),
 bad AS (SELECT DISTINCT row_id FROM sig s JOIN cut c ON c.stratum = s.stratum AND c.rule = s.rule WHERE s.signal > c.cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND row_id NOT IN (SELECT row_id FROM bad) AS kept FROM feat"""
@@ -78,8 +81,7 @@ SELECT doc_id, size, source_size, target, (epochs * size + CASE WHEN upto <= res
 def _urls() -> str:
     quote = lambda t: t.replace("-", "\\-")
     hit = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){quote(t)}($|[^a-z0-9])')"
-    strict = " OR ".join(map(hit, url_filter.STRICT))
-    soft = " + ".join(f"{hit(t)}::INTEGER" for t in url_filter.SOFT)
+    weight = " + ".join(f"{w} * {hit(t)}::INTEGER" for t, w in url_filter.TERMS.items())
     cases = []
     for rule, verdict in sorted(url_filter.RULES, key=lambda r: -len(r[0])):
         name, _, rest = rule.partition("/")
@@ -88,7 +90,7 @@ def _urls() -> str:
     return f"""
 WITH u AS (SELECT page_id, translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}') AS low,
   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, host, path, {pick(1)} AS rule, coalesce({pick(2)}, CASE WHEN {strict} OR {soft} >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM u"""
+SELECT page_id, host, path, {pick(1)} AS rule, coalesce({pick(2)}, CASE WHEN {weight} >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM u"""
 
 
 _DECONTAMINATION = f"""
@@ -114,7 +116,7 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 _WARC = """
 WITH r AS (SELECT page_id, url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
   || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS raw FROM pages),
-h AS (SELECT page_id, url, coalesce(page_id // 4096, -1) AS volume, strlen(raw)::BIGINT AS length, sha256(raw) AS sha256 FROM r),
+h AS (SELECT page_id, url, coalesce(page_id // 4096, -1 - ('0x' || md5(coalesce(url, ''))[1:4])::BIGINT % 1024) AS volume, strlen(raw)::BIGINT AS length, sha256(raw) AS sha256 FROM r),
 o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY volume ORDER BY page_id, url, length, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM h),
 n0 AS (SELECT volume, "offset" // 65536 AS node, sha256(string_agg("offset" || ':' || length || ':' || sha256, chr(10) ORDER BY "offset")) AS digest FROM o GROUP BY 1, 2),
 top AS (SELECT max("offset") // 65536 AS m FROM o),

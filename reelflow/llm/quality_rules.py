@@ -1,7 +1,8 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
 Every rule rejects a document whose signal exceeds a cutoff. The cutoffs of a stratum
-(language) are chosen on labelled good documents: a cutoff is certified if, were the true
+(a language with ``LEAST_HOLDOUT`` labelled good documents or more, ``MOST_STRATA`` at most) are chosen on labelled
+good documents, each label and each text counting once, as repeats are no independent trials: a cutoff is certified if, were the true
 share of good documents that it rejects above ``alpha / rules``, so few rejections would be
 seen with probability ``delta / (strata * rules)`` at most (exact binomial tail). Within a
 rule cutoffs are tested from the mildest on, stopping at the first that fails, so that the
@@ -11,9 +12,10 @@ With probability 1 - delta, no stratum then loses more than ``alpha`` of its goo
 All of it is DataFrame expressions: windows of words are sorted inside the row, so no word
 is shuffled; a text may be as long as a row can be.
 
-Nulls: a null text has no words; a null or unlisted language belongs to stratum ``other``;
-a document without labels is only judged. Several labels of one id count as good if one does.
-Repeated rows are each judged and each returned.
+Nulls: a null text has no words; a null language, or one with few labels, belongs to stratum ``other``;
+a document without labels is only judged. Several labels of one id count as good if one does; of texts with
+the same id, that with the smallest MD5 is the labelled one. Repeated rows are each judged and each returned.
+An empty table gives an empty result, empty labels reject nothing more. Columns of the caller are kept.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql.window import Window
 
 from reelflow.llm.common import SPACE_WORD, fresh, let, stage
 
-#: Strata that get cutoffs of their own; all other values share ``other``.
-STRATA = ("de", "en", "es", "fr")
+#: Labelled good documents that a language needs for cutoffs of its own, and languages that get them at most
+#: (those with the most, ties by name); all others share ``other``.
+LEAST_HOLDOUT, MOST_STRATA = 100, 64
 #: Signals and their cutoffs, mildest first. Parameters, not fitted to data.
 CUTOFFS: dict[str, tuple[float, ...]] = {
     "symbols_per_word": (1.5, 1.0, 0.7, 0.5, 0.3, 0.2, 0.1),
@@ -89,6 +92,7 @@ def rate(docs: DataFrame, text: str = "text", into: str = "quality_counts") -> D
             f["l"]["n"].alias("n_lines"),
             f["n_upper"].alias("n_upper"),
             f["n_marks"].alias("n_marks"),
+            F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_md5"),
         ),
     ).drop(raw)
 
@@ -105,8 +109,9 @@ def signals(q: Column) -> dict[str, Column]:
     }
 
 
-def stratum(lang: Column, strata: tuple[str, ...] = STRATA) -> Column:
-    return F.when(lang.isin(*strata), lang).otherwise(F.lit("other"))
+def stratum(lang: Column, strata: list[str]) -> Column:
+    """The language if it is one of ``strata``, else null: the stratum of all others."""
+    return F.when(lang.isin(*strata), lang) if strata else F.lit(None).cast("string")
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
@@ -125,17 +130,41 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).when(k < 1, F.exp(n * F.log(F.lit(1 - p)))).otherwise(sums)
 
 
-def calibrate(rated: DataFrame, labels: DataFrame, doc_id: str = "doc_id", lang: str = "lang", counts: str = "quality_counts", alpha: float = ALPHA, delta: float = DELTA, strata: tuple[str, ...] = STRATA, cutoffs: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
-    """One row per stratum and rule that has a certified cutoff: stratum, rule, cutoff, holdout, rejected, p_value.
-
-    At most (len(strata) + 1) * len(cutoffs) rows, whatever the size of the inputs.
-    """
-    rules = CUTOFFS if cutoffs is None else cutoffs
+def holdout(rated: DataFrame, labels: DataFrame, doc_id: str = "doc_id", lang: str = "lang", counts: str = "quality_counts") -> DataFrame:
+    """(lang, q) of the labelled good documents that the fixed rules leave: a row per label and text."""
     good = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("q")).where("q = 1").select("id")
     q = F.col("q")
-    level = [F.struct(F.lit(name).alias("rule"), sum((s > c).cast("int") for c in rules[name]).alias("level")) for name, s in signals(q).items() if name in rules]
-    held = rated.select(F.col(doc_id).alias("id"), stratum(F.col(lang), strata).alias("stratum"), F.col(counts).alias("q")).where(~q["base_failed"])
-    seen = held.join(good, "id").select("stratum", F.explode(F.array(*level)).alias("x")).groupBy("stratum", "x.rule", "x.level").count()
+    own = rated.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(counts).alias("q")).where(~q["base_failed"])
+    first = F.min(F.struct(q["text_md5"].alias("text_md5"), "lang", "q")).alias("x")
+    once = own.join(good, "id").groupBy("id").agg(first)
+    return once.groupBy("x.lang", "x.text_md5").agg(F.min("x.q").alias("q")).select("lang", "q")
+
+
+def strata_of(held: DataFrame) -> list[str]:
+    """Languages with cutoffs of their own, at most ``MOST_STRATA``."""
+    many = held.where("lang is not null").groupBy("lang").count().where(F.col("count") >= LEAST_HOLDOUT)
+    return sorted(r["lang"] for r in many.orderBy(F.desc("count"), "lang").limit(MOST_STRATA).collect())
+
+
+def calibrate(
+    rated: DataFrame,
+    labels: DataFrame,
+    doc_id: str = "doc_id",
+    lang: str = "lang",
+    counts: str = "quality_counts",
+    alpha: float = ALPHA,
+    delta: float = DELTA,
+    cutoffs: dict[str, tuple[float, ...]] | None = None,
+) -> DataFrame:
+    """One row per stratum (null: all other languages) and rule that has a certified cutoff: stratum, rule, cutoff, holdout, rejected, p_value.
+
+    At most (MOST_STRATA + 1) * len(cutoffs) rows, whatever the size of the inputs.
+    """
+    rules = CUTOFFS if cutoffs is None else cutoffs
+    held = stage(holdout(rated, labels, doc_id, lang, counts), "holdout")
+    strata = strata_of(held)
+    level = [F.struct(F.lit(name).alias("rule"), sum((s > c).cast("int") for c in rules[name]).alias("level")) for name, s in signals(F.col("q")).items() if name in rules]
+    seen = held.select(stratum(F.col("lang"), strata).alias("stratum"), F.explode(F.array(*level)).alias("x")).groupBy("stratum", "x.rule", "x.level").count()
     grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.lit(i + 1).alias("step")) for r, cs in rules.items() for i, c in enumerate(cs)])
     totals = seen.groupBy("stratum", "rule").agg(F.collect_list(F.struct("level", "count")).alias("levels"))
     each = totals.select("stratum", "rule", "levels", F.explode(F.filter(grid, lambda g: g["rule"] == F.col("rule"))).alias("g"))
@@ -144,28 +173,42 @@ def calibrate(rated: DataFrame, labels: DataFrame, doc_id: str = "doc_id", lang:
     k = F.aggregate("levels", F.lit(0).cast("long"), lambda a, x: a + F.when(x["level"] > F.col("width") - F.col("step"), x["count"]).otherwise(F.lit(0).cast("long")))
     n = F.aggregate("levels", F.lit(0).cast("long"), lambda a, x: a + x["count"])
     width = F.element_at(F.create_map(*[y for r, cs in rules.items() for y in (F.lit(r), F.lit(len(cs)))]), F.col("rule"))
-    tested = each.select("stratum", "rule", "levels", "g.cutoff", "g.step", width.alias("width")).select("stratum", "rule", "cutoff", "step", n.alias("holdout"), k.alias("rejected"))
+    tested = each.select("stratum", "rule", "levels", "g.cutoff", "g.step", width.alias("width"))
+    tested = tested.select("stratum", "rule", "cutoff", "step", n.alias("holdout"), k.alias("rejected"))
     tested = tested.withColumn("p_value", binomial_tail(F.col("holdout"), F.col("rejected"), alpha / size))
-    passed = tested.withColumn("ok", F.min((F.col("p_value") <= delta / (size * (len(strata) + 1))).cast("int")).over(Window.partitionBy("stratum", "rule").orderBy("step")))
+    order = Window.partitionBy("stratum", "rule").orderBy("step")
+    passed = tested.withColumn("ok", F.min((F.col("p_value") <= delta / (size * (len(strata) + 1))).cast("int")).over(order))
     best = F.max_by(F.struct("cutoff", "holdout", "rejected", "p_value"), "step").alias("b")
-    return passed.where("ok = 1").groupBy("stratum", "rule").agg(best).select("stratum", "rule", "b.*")
+    out = passed.where("ok = 1").groupBy("stratum", "rule").agg(best).select("stratum", "rule", "b.*")
+    # every stratum has a row, so that a language without certified cutoffs is not taken for one of the others
+    own = held.select(stratum(F.col("lang"), strata).alias("stratum")).distinct().where("stratum is not null")
+    return out.unionByName(own.withColumn("rule", F.lit("none")), allowMissingColumns=True)
 
 
-def decide(rated: DataFrame, cutoffs: DataFrame, lang: str = "lang", counts: str = "quality_counts", into: str = "kept", strata: tuple[str, ...] = STRATA) -> DataFrame:
+def decide(rated: DataFrame, cutoffs: DataFrame, lang: str = "lang", counts: str = "quality_counts", into: str = "kept") -> DataFrame:
     """``rated`` with ``into``: false if the fixed rules or a certified cutoff of the stratum reject the text.
 
-    ``cutoffs`` has a row per stratum and rule at most, so its map per stratum is broadcast.
+    ``cutoffs`` has ``MOST_STRATA`` + 1 strata at most, so its map per stratum is broadcast.
     """
     name, key = fresh(rated, "quality_cutoffs"), fresh(rated, "quality_stratum")
-    table = cutoffs.groupBy(F.col("stratum").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias(name))
+    pairs = F.map_from_entries(F.collect_list(F.struct("rule", "cutoff")))
+    table = stage(cutoffs.groupBy(F.col("stratum").alias(key)).agg(pairs.alias(name)), "cutoffs")
+    strata = [r[key] for r in table.select(key).where(F.col(key).isNotNull()).collect()]
     q = F.col(counts)
     bad = F.lit(False)
     for rule, s in signals(q).items():
         bad = bad | F.coalesce(s > F.try_element_at(F.col(name), F.lit(rule)), F.lit(False))
-    return rated.withColumn(key, stratum(F.col(lang), strata)).join(F.broadcast(table), key, "left").withColumn(into, ~q["base_failed"] & ~bad).drop(name, key)
+    own = stratum(F.col(lang), strata).eqNullSafe(table[key])
+    return rated.join(F.broadcast(table), own, "left").withColumn(into, ~q["base_failed"] & ~bad).drop(name, key)
 
 
 def judge(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``quality_counts`` and ``kept``. The counts are made once and staged with the rows."""
-    rated = stage(rate(docs if keep_text else docs.select("doc_id", "lang", "text")).drop(*([] if keep_text else ["text"])), "rated")
-    return decide(rated, calibrate(rated, labels))
+    """``docs`` and, last, ``quality_counts`` and ``kept`` (or free names like these). The counts are made once and staged with the rows.
+
+    Without ``keep_text`` doc_id and lang are all that is kept of ``docs``.
+    """
+    if not keep_text:
+        docs = docs.select("doc_id", "lang", "text")
+    counts, kept = fresh(docs, "quality_counts"), fresh(docs, "kept")
+    rated = stage(rate(docs, into=counts).drop(*([] if keep_text else ["text"])), "rated")
+    return decide(rated, calibrate(rated, labels, counts=counts), counts=counts, into=kept)

@@ -51,12 +51,29 @@ def test_cutoffs_are_certified_per_stratum(spark, docs):
     rows = {(r["stratum"], r["rule"]): r for r in cut.collect()}
     assert {s for s, _ in rows} == {"en"}
     assert rows["en", "symbols_per_word"]["cutoff"] == 0.1
-    assert all(r["p_value"] <= 0.2 / 25 for r in rows.values())
+    rows.pop(("en", "none"))
+    assert all(r["p_value"] <= 0.2 / 10 and r["holdout"] == 400 for r in rows.values())
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.decide(rated, cut).collect()}
     assert all(kept[i] for i, *_ in good) and not any(kept[i] for i, *_ in odd)
     assert kept[2000] and kept[2001] and not kept[2002]
 
 
+def test_repeated_rows_and_copies_are_no_trials(spark, docs):
+    good = [(i, prose(i, 60), "en") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i in range(5000)], "doc_id long, quality int")
+    copies = [(60 * k + i, t, lang) for k in range(40) for i, t, lang in good]
+    for rows in (good, good * 40, copies):
+        cut = quality_rules.calibrate(quality_rules.rate(docs(rows)), labels)
+        assert {r["holdout"] for r in cut.collect()} <= {None} and quality_rules.holdout(quality_rules.rate(docs(rows)), labels).count() == 60
+
+
+def test_columns_of_the_caller_are_kept(spark, docs):
+    table = docs([(1, prose(1, 60), "en", "s", 7, 8)], ", kept int, quality_counts int")
+    out = quality_rules.judge(table, spark.createDataFrame([], "doc_id long, quality int"))
+    assert out.columns == [*table.columns, "_quality_counts", "_kept"]
+    assert out.select("kept", "quality_counts", "_kept").first() == (7, 8, True)
+
+
 def test_no_labels_reject_nothing_more(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     out = quality_rules.judge(docs([(1, prose(1, 60)), (1, prose(1, 60)), (2, "short")]), labels)
