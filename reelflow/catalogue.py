@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelflow import views
@@ -303,27 +303,30 @@ def q20_parse_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spans of each video, which overlap."""
     videos = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id")).distinct()
-    start = (F.col("video_id") % 20) * 36_000_000_000
-    return videos.select("video_id", start.alias("start"), (start + F.when(F.col("video_id") % 4 == 0, 10**13).otherwise(1_000_000_000_000)).cast("long").alias("stop"))
+    rows = videos.withColumn("span", F.explode(F.array(F.lit(0), F.lit(1))))
+    start = (F.col("video_id") % 20) * 36_000_000_000 + F.col("span") * 500_000_000_000
+    return rows.select("video_id", "span", start.alias("start"), (start + F.when(F.col("video_id") % 4 == 0, 10**13).otherwise(1_000_000_000_000)).cast("long").alias("stop"))
 
 
 _SPANS = """,
-spans AS (SELECT video_id, (video_id % 20) * 36000000000 AS start, (video_id % 20) * 36000000000 + CASE WHEN video_id % 4 = 0 THEN 10000000000000 ELSE 1000000000000 END AS stop FROM (SELECT DISTINCT user_id AS video_id FROM events))"""
+spans AS (SELECT video_id, span, start, start + CASE WHEN video_id % 4 = 0 THEN 10000000000000 ELSE 1000000000000 END AS stop
+  FROM (SELECT user_id AS video_id, span, (user_id % 20) * 36000000000 + span * 500000000000 AS start FROM (SELECT DISTINCT user_id FROM events), (VALUES (0), (1)) AS t(span)))"""
 
 
 @query(PACKETS_SQL + _SPANS + """,
-bounds AS (SELECT s.video_id, coalesce(min(frame_idx) FILTER (WHERE pts >= start), max(frame_idx)) AS a, coalesce(min(frame_idx) FILTER (WHERE pts >= stop), max(frame_idx)) AS b
-  FROM spans s JOIN frames f ON f.video_id = s.video_id GROUP BY 1)
-SELECT f.video_id, f.frame_idx, f.pts, f.frame_idx - a AS out_idx, f.pts - min(f.pts) OVER (PARTITION BY f.video_id) AS out_pts FROM frames f JOIN bounds ON bounds.video_id = f.video_id WHERE frame_idx >= a AND frame_idx < b""")
+bounds AS (SELECT s.video_id, s.span, coalesce(min(frame_idx) FILTER (WHERE pts >= start), max(frame_idx)) AS a, coalesce(min(frame_idx) FILTER (WHERE pts >= stop), max(frame_idx)) AS b
+  FROM spans s JOIN frames f ON f.video_id = s.video_id GROUP BY 1, 2)
+SELECT f.video_id, span, f.frame_idx, f.pts, f.frame_idx - a AS out_idx, f.pts - min(f.pts) OVER (PARTITION BY f.video_id, span) AS out_pts FROM frames f JOIN bounds ON bounds.video_id = f.video_id WHERE frame_idx >= a AND frame_idx < b""")
 def q22_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trim.trim_video(_frames(spark, sf_dir), _spans(spark, sf_dir))
 
 
 @query(PACKETS_SQL + _SPANS + """,
-a AS (SELECT p.video_id, pos, coalesce(pts, dts) AS pts, start, stop FROM packets p JOIN spans s ON s.video_id = p.video_id WHERE kind = 'audio' AND dts IS NOT NULL AND coalesce(pts, dts) >= start),
-e AS (SELECT video_id, min(pos) AS end_pos FROM a WHERE pts >= stop GROUP BY 1)
-SELECT a.video_id, a.pos, a.pts, a.pts - a.start AS out_pts FROM a LEFT JOIN e ON e.video_id = a.video_id WHERE end_pos IS NULL OR pos < end_pos""")
+a AS (SELECT p.video_id, span, pos, coalesce(pts, dts) AS pts, start, stop FROM packets p JOIN spans s ON s.video_id = p.video_id WHERE kind = 'audio' AND dts IS NOT NULL AND coalesce(pts, dts) >= start),
+e AS (SELECT video_id, span, min(pos) AS end_pos FROM a WHERE pts >= stop GROUP BY 1, 2)
+SELECT a.video_id, a.span, a.pos, a.pts, a.pts - a.start AS out_pts FROM a LEFT JOIN e ON e.video_id = a.video_id AND e.span = a.span WHERE end_pos IS NULL OR pos < end_pos""")
 def q23_trim_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     audio = views.packets(spark, sf_dir).where("kind = 'audio'").withColumn("pts", index.stamp())
     return trim.trim_audio(audio, _spans(spark, sf_dir))
@@ -455,31 +458,40 @@ def q32_convert_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.planes(spark, sf_dir).select("vec_id", pixels.to_float(p).alias("unit"), pixels.from_float(F.transform(p, lambda v: v / 32768 - 0.25)).alias("clipped"), pixels.widen(F.transform(p, lambda v: v % 256)).alias("wide"))
 
 
-def _twist_sql(space: str, mode: str) -> str:
-    top = 255 if mode == "full8" else 65535
-    rows = [f"list_transform(range(1, 9), lambda i: floor(least(greatest(plane[i] * {m[0]!r}::DOUBLE + plane[i + 8] * {m[1]!r}::DOUBLE + plane[i + 16] * {m[2]!r}::DOUBLE + {m[3]!r}::DOUBLE, 0.0), {top}.0) + 0.5)::INTEGER)" for m in pixels.twist_matrix(space, mode)]
-    return ", ".join(f"{r} AS {n}" for r, n in zip(rows, "rgb", strict=True))
+#: The colour matrices as the standards have them, written out for the SQL. Fixed values.
+_TWIST_ROWS = {
+    "bt601 limited16": ((1.164384, 0.0, 1.596027, -57067.9296), (1.164384, -0.391762, -0.812968, 34707.275776), (1.164384, 2.017232, 0.0, -70869.97504)),
+    "bt601 full16": ((1.0, 0.0, 1.402, -45940.736), (1.0, -0.344136, -0.714136, 34677.456896), (1.0, 1.772, 0.0, -58064.896)),
+    "bt601 full8": ((1.0, 0.0, 1.402, -179.456), (1.0, -0.344136, -0.714136, 135.458816), (1.0, 1.772, 0.0, -226.816)),
+    "bt601 full8to16": ((257.0, 0.0, 360.314, -46120.192), (257.0, -88.442952, -183.532952, 34812.915712), (257.0, 455.404, 0.0, -58291.712)),
+    "bt709 limited16": ((1.164384, 0.0, 1.792741, -63513.853952), (1.164384, -0.213249, -0.532909, 19680.78848), (1.164384, 2.112402, 0.0, -73988.5056)),
+    "bt709 full16": ((1.0, 0.0, 1.5748, -51603.0464), (1.0, -0.1873, -0.4681, 21476.1472), (1.0, 1.8556, 0.0, -60804.3008)),
+    "bt709 full8": ((1.0, 0.0, 1.5748, -201.5744), (1.0, -0.1873, -0.4681, 83.8912), (1.0, 1.8556, 0.0, -237.5168)),
+    "bt709 full8to16": ((257.0, 0.0, 404.7236, -51804.6208), (257.0, -48.1361, -120.3017, 21560.0384), (257.0, 476.8892, 0.0, -61041.8176)),
+}
 
 
-_TWISTS = [(s, m) for s in ("bt601", "bt709") for m in ("limited16", "full16", "full8", "full8to16")]
+def _twist_sql(twist: str) -> str:
+    top = 255 if twist.endswith("full8") else 65535
+    value = lambda m: f"plane[i] * {m[0]!r}::DOUBLE + plane[i + 21] * {m[1]!r}::DOUBLE + plane[i + 42] * {m[2]!r}::DOUBLE + {m[3]!r}::DOUBLE"
+    rows = [f"list_transform(range(1, 22), lambda i: floor(least(greatest({value(m)}, 0.0), {top}.0) + 0.5)::INTEGER) AS {n}" for m, n in zip(_TWIST_ROWS[twist], "rgb", strict=True)]
+    return f"SELECT vec_id, '{twist}' AS twist, {', '.join(rows)} FROM {'narrow' if 'full8' in twist else 'planes'}"
 
 
-@query(PLANES_SQL + ", narrow AS (SELECT vec_id, list_transform(plane, lambda v: v // 257) AS plane FROM planes) " + " UNION ALL ".join(f"SELECT vec_id, '{s} {m}' AS twist, {_twist_sql(s, m)} FROM {'planes' if m.endswith('16') and '8to' not in m else 'narrow'}" for s, m in _TWISTS))
+@query(PLANES_SQL + ", narrow AS (SELECT vec_id, list_transform(plane, lambda v: v // 257) AS plane FROM planes) " + " UNION ALL ".join(map(_twist_sql, _TWIST_ROWS)))
 def q33_colour_twist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = views.planes(spark, sf_dir)
-    narrow = wide.withColumn("plane", F.transform("plane", lambda v: F.floor(v / 257).cast("int")))
-    out = None
-    for space, mode in _TWISTS:
-        rows = narrow if mode.startswith("full8") else wide
-        p = F.col("plane")
-        rgb = F.transform(F.sequence(F.lit(0), F.lit(7)), _twist_at(p, space, mode))
-        part = rows.select("vec_id", F.lit(f"{space} {mode}").alias("twist"), *[F.transform(rgb, _field(n)).alias(n) for n in "rgb"])
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Each plane as 21 pixels of three values, under all eight matrices, in one scan."""
+    both = F.struct(F.col("plane").alias("wide"), F.transform("plane", lambda v: F.floor(v / 257).cast("int")).alias("narrow"))
+    rows = views.planes(spark, sf_dir).select("vec_id", both.alias("p"))
 
+    def twisted(twist: str) -> Column:
+        space, mode = twist.split()
+        p = F.col("p")["narrow" if mode.startswith("full8") else "wide"]
+        rgb = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: pixels.colour_twist(F.get(p, i), F.get(p, i + 21), F.get(p, i + 42), space, mode))
+        return F.struct(F.lit(twist).alias("twist"), rgb.alias("rgb"))
 
-def _twist_at(p, space: str, mode: str):
-    return lambda i: pixels.colour_twist(F.get(p, i), F.get(p, i + 8), F.get(p, i + 16), space, mode)
+    each = rows.select("vec_id", F.explode(F.array(*map(twisted, _TWIST_ROWS))).alias("t"))
+    return each.select("vec_id", "t.twist", *[F.transform("t.rgb", _field(n)).alias(n) for n in "rgb"])
 
 
 def _field(name: str):
@@ -512,12 +524,20 @@ def q35_uv_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.planes(spark, sf_dir).select("vec_id", uv.alias("uv")).select("vec_id", "uv", back["u"].alias("u"), back["v"].alias("v"))
 
 
-@query()
+_QUANTUM = "pow(2, greatest(floor(log2({x})) - 10, -24))"
+_HALF = "CASE WHEN {x} = 0 THEN 0.0 ELSE round_even({x} / " + _QUANTUM + ", 0) * " + _QUANTUM + " END"
+
+
+@query(PLANES_SQL + f""", clipped AS (SELECT vec_id, list_transform(plane, lambda v: least(v, 65504)::DOUBLE) AS p FROM planes),
+halves AS (SELECT vec_id, list_transform(list_transform(p, lambda v: {_HALF.format(x="v")}), lambda v: v / 65504) AS p FROM clipped)
+SELECT vec_id, list_transform(p, lambda v: ({_HALF.format(x="v")})::FLOAT) AS half FROM halves""")
 def q39_to_float16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.planes(spark, sf_dir).select("vec_id", pixels.to_half(F.col("plane")).alias("half"))
 
 
-@query()
+@query("""SELECT p_partkey AS id, nal_idx::INTEGER AS nal_idx, CASE nal_idx WHEN 0 THEN 4 WHEN 1 THEN strlen(p_name) + 12 ELSE strlen(p_name) + 18 END::INTEGER AS nal_offset,
+  CASE nal_idx WHEN 0 THEN 7 WHEN 1 THEN 8 ELSE ord(p_type[1:1]) % 32 END::INTEGER AS nal_type, CASE nal_idx WHEN 0 THEN strlen(p_name) + 4 WHEN 1 THEN 3 ELSE strlen(p_type) END::INTEGER AS size
+FROM part, (VALUES (0), (1), (2)) AS t(nal_idx)""")
 def q40_nal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams made of three units each, split again."""
     spark.udtf.register("reel_nal_units", bits.NalUnits)

@@ -15,10 +15,13 @@ RAW_SUFFIXES = ("264", "265", "avc", "h264", "h265", "hevc")
 CONTAINER_SUFFIXES = ("avi", "mkv", "mov", "mp4", "webm")
 #: Status codes of the hardware encoder's API, from 0 on. Fixed values.
 ENCODER_STATUS = ("NV_ENC_SUCCESS", "NV_ENC_ERR_NO_ENCODE_DEVICE", "NV_ENC_ERR_UNSUPPORTED_DEVICE", "NV_ENC_ERR_INVALID_ENCODERDEVICE", "NV_ENC_ERR_INVALID_DEVICE", "NV_ENC_ERR_DEVICE_NOT_EXIST", "NV_ENC_ERR_INVALID_PTR", "NV_ENC_ERR_INVALID_EVENT", "NV_ENC_ERR_INVALID_PARAM", "NV_ENC_ERR_INVALID_CALL", "NV_ENC_ERR_OUT_OF_MEMORY", "NV_ENC_ERR_ENCODER_NOT_INITIALIZED", "NV_ENC_ERR_UNSUPPORTED_PARAM", "NV_ENC_ERR_LOCK_BUSY", "NV_ENC_ERR_NOT_ENOUGH_BUFFER", "NV_ENC_ERR_INVALID_VERSION", "NV_ENC_ERR_MAP_FAILED", "NV_ENC_ERR_NEED_MORE_INPUT", "NV_ENC_ERR_ENCODER_BUSY", "NV_ENC_ERR_EVENT_NOT_REGISTERED", "NV_ENC_ERR_GENERIC", "NV_ENC_ERR_INCOMPATIBLE_CLIENT_KEY", "NV_ENC_ERR_UNIMPLEMENTED", "NV_ENC_ERR_RESOURCE_REGISTER_FAILED", "NV_ENC_ERR_RESOURCE_NOT_REGISTERED", "NV_ENC_ERR_RESOURCE_NOT_MAPPED")
+#: What the status text adds for some codes; part of output that must match. Fixed values.
 STATUS_HINTS = {1: " (no NVIDIA GPU with NVENC support found)", 8: " (check resolution, frame rate, or encoding parameters)", 10: " (GPU memory exhausted)", 15: " (driver/SDK version mismatch)"}
 #: Status codes of the hardware JPEG decoder, from 0 on. Fixed values.
 JPEG_STATUS = ("Success", "Not initialized", "Invalid parameter", "Bad JPEG", "JPEG not supported", "Allocator failure", "Execution failed", "Architecture mismatch", "Internal error", "Implementation not supported", "Incomplete bitstream")
 MAX_HARDWARE_SIZE = 4096
+#: Sizes below which a failure of a hardware encoder is put down to the size, and what its names have. Fixed values.
+SMALL_WIDTH, SMALL_HEIGHT, HARDWARE_MARK = 150, 50, "nvenc"
 
 
 @dataclass(frozen=True)
@@ -68,7 +71,12 @@ def uses_gpu(gpu: Column, width: Column, height: Column) -> Column:
 
 def too_small(codec: Column, width: Column, height: Column) -> Column:
     """Whether a failure is put down to the size."""
-    return codec.contains("nvenc") & ((width < 150) | (height < 50))
+    return codec.contains(HARDWARE_MARK) & ((width < SMALL_WIDTH) | (height < SMALL_HEIGHT))
+
+
+def is_small(codec: str, width: int, height: int) -> bool:
+    """``too_small`` of plain values."""
+    return HARDWARE_MARK in codec and not (width >= SMALL_WIDTH and height >= SMALL_HEIGHT)
 
 
 def padded(size: Column) -> Column:

@@ -25,8 +25,3 @@ def rescale(ticks: str, from_num: str, from_den: str, to_num: str, to_den: str)
     """Ticks of one time base in another, truncated. SQL expressions in; exact in decimals."""
     wide = lambda c: f"cast({c} as decimal(12,0))"
     return F.expr(f"cast({ticks} as decimal(19,0)) * {wide(from_num)} * {wide(to_den)} div ({wide(from_den)} * {wide(to_num)})")
-
-
-def ticks_of(seconds: Column, tb_num: int, tb_den: int) -> Column:
-    """Seconds as ticks, truncated."""
-    return (seconds * tb_den / tb_num).cast("long")

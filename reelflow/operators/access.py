@@ -67,10 +67,6 @@ def repeat_each(frames: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("out_idx", F.col("out_idx") * n + F.col("rep"))
 
 
-def effective_fps(fps: Column, plan: FramePlan) -> Column:
-    return fps / plan.step * plan.repeat
-
-
 def strategy(start: Column, step: Column) -> Column:
     """``seek`` per frame, ``range`` from one seek on, or ``scan`` from the start."""
     return F.when(step > SEEK_STEP, "seek").when(start > 0, "range").otherwise("scan")

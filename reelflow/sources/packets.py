@@ -17,7 +17,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from reelflow.plans.errors import DecodeError
 
 SCHEMA = "path string, stream_idx int, kind string, pos long, pts long, dts long, is_keyframe boolean, size_bytes long, tb_den long, width int, height int, codec string"
-_CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts"))
 
 
 def _boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:

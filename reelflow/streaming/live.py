@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from reelflow.operators.index import stamp
+
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int = 32) -> DataFrame:
     """A stream over Parquet files as they appear; ``files_per_trigger`` bounds what a batch admits."""
@@ -18,9 +20,10 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_
 
 
 def running_max(packets: DataFrame) -> DataFrame:
-    """(video_id, pos, pts, run_max) of a stream of (video_id, pos, pts); state: one number per video.
+    """(video_id, pos, pts, run_max) of a stream of (video_id, pos, pts, dts); state: one number per video.
 
-    Packets of a video must come in file order between batches; within one they are sorted.
+    As in batches, a packet without pts stands at its dts; without both it is left out. Packets of a video must
+    come in file order between batches; within one they are sorted.
     """
 
     def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -30,7 +33,7 @@ def running_max(packets: DataFrame) -> DataFrame:
         state.update((int(run.iloc[-1]),))
         yield pd.DataFrame({"video_id": key[0], "pos": rows["pos"], "pts": rows["pts"], "run_max": run})
 
-    rows = packets.select("video_id", "pos", "pts").where("pts >= 0")
+    rows = packets.select("video_id", "pos", stamp().alias("pts")).where("pts >= 0")
     return rows.groupBy("video_id").applyInPandasWithState(update, "video_id long, pos long, pts long, run_max long", "top long", "append", GroupStateTimeout.NoTimeout)
 
 

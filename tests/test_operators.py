@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as fn
 
 from reelflow.operators import gop, index, metadata, mux, resample, sessions, trim
 from reelflow.plans.errors import IndexBuildError, NoAudioError
@@ -137,6 +138,22 @@ def test_reordering(spark):
     assert [r["frame_idx"] for r in gop.reorder(f, 0).orderBy("out_idx").collect()] == list(range(7))
 
 
+def test_spans_of_a_video_are_cut_each_for_itself(spark):
+    f = spark.createDataFrame([(1, i, i * 10) for i in range(9)], "video_id long, frame_idx long, pts long")
+    spans = spark.createDataFrame([(1, 10, 40), (1, 30, 60), (1, 30, 60)], "video_id long, start long, stop long")
+    got = sorted((r["span"], r["frame_idx"], r["out_idx"], r["out_pts"]) for r in trim.trim_video(f, spans).collect())
+    assert got == [(0, 1, 0, 0), (0, 2, 1, 10), (0, 3, 2, 20), *[(s, 3 + k, k, 10 * k) for s in (1, 2) for k in range(3)]]
+    audio = f.select("video_id", fn.col("frame_idx").alias("pos"), "pts", fn.col("pts").alias("dts"))
+    got = sorted((r["span"], r["pos"], r["out_pts"]) for r in trim.trim_audio(audio, spans).collect())
+    assert got == [(0, 1, 0), (0, 2, 10), (0, 3, 20), *[(s, 3 + k, 10 * k) for s in (1, 2) for k in range(3)]]
+
+
+def test_audio_that_does_not_fit_is_skipped(spark):
+    rows = spark.createDataFrame([("aac", "mp4"), ("opus", "avi"), (None, "mp4")], "codec string, container string")
+    got = rows.select(trim.audio_status(fn.col("codec"), fn.col("container"), {"mp4": ("aac", "opus"), "avi": ("mp3",)}).alias("s")).collect()
+    assert [r["s"] for r in got] == ["copied", "skipped", "none"]
+
+
 def test_trim_past_the_end_drops_the_last_frame_unless_told(spark):
     f = spark.createDataFrame([(1, i, i * 10) for i in range(5)], "video_id long, frame_idx long, pts long")
     span = spark.createDataFrame([(1, 11, 99)], "video_id long, start long, stop long")
