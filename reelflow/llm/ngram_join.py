@@ -11,8 +11,8 @@
    elements emitted and not hot has met all its partners. The others emit all their elements.
 4. The few classes that even so are nearly all hot are compared within their hot buckets of step 2: first
    each with the class with which it shares most, in ``ROUNDS`` orders; then each with the
-   nearest of another component; then, where a class had more than one such, all between the components
-   so far, by parity bits, in blocks of ``BLOCK`` rows that are spread over tasks. No pair is left out.
+   nearest of another component in its bucket; then, where there were more, all between the components so far,
+   by parity bits, in blocks of ``BLOCK`` rows that are spread over tasks. No pair is left out.
 5. Pairs that pass sketches or parities (lower bounds of the difference) are verified on the sets.
 6. Components come from alternating large and small stars over the verified links.
 
@@ -50,7 +50,7 @@ ROUNDS = 2
 BLOCK = 2048
 #: Ids that are broadcast at most (16 bytes each); beyond it, the join is left to Spark.
 FEW_IDS = 1 << 20
-#: Parities that are broadcast at most; one has 16 KB at most and two to four bits an element.
+#: Parities that are broadcast at most; one has 16 KB at most and four to eight bits an element.
 FEW_PARITIES = 1 << 11
 #: Classes that a task remembers, not to emit a copy's signatures again.
 SEEN = 1 << 17
@@ -328,59 +328,65 @@ def _apart(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield i, np.bitwise_count(x[i : i + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
 
 
-def _candidates(cid: np.ndarray, root: np.ndarray, n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, open): rows of two blocks of a bucket that are of different components and may match by their parities.
+def _candidates(root: np.ndarray, n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(rows, rows, more): pairs of two blocks of a bucket of different components that may match by their parities.
 
-    ``nearest``: for each row of the first block only the pair that differs least, and ``open`` the rows with more.
+    ``best``: for each row of the first block only the one that differs least, and whether there are ``more``.
     """
-    words = min(map(len, bits)) // 8
-    y = partenum.fold_parities(bits, words)
-    a, b, more = [], [], []
+    y = partenum.fold_parities(bits, min(map(len, bits)) // 8)
+    a, b, total = [], [], 0
     for i, apart in _apart(y[left], y[right]):
         own = left[i : i + len(apart)]
         size, other = n[own][:, None], n[right][None, :]
         ok = (7 * apart <= size + other) & (4 * np.minimum(size, other) >= 3 * np.maximum(size, other)) & (root[own][:, None] != root[right][None, :])
-        if nearest:
-            some = np.flatnonzero(ok.any(axis=1))
-            a.append(own[some])
-            b.append(right[np.where(ok[some], apart[some], np.iinfo(np.int64).max).argmin(axis=1)])
-            more.append(own[some][ok[some].sum(axis=1) > 1])
+        total += int(ok.sum())
+        if best:
+            p = np.flatnonzero(ok.any(axis=1))
+            q = np.where(ok[p], apart[p], np.iinfo(np.int64).max).argmin(axis=1)
         else:
             p, q = np.nonzero(ok)
-            a.append(own[p])
-            b.append(right[q])
-    a, b = cid[np.concatenate(a)], cid[np.concatenate(b)]
-    return np.minimum(a, b), np.maximum(a, b), np.concatenate(more) if more else np.empty(0, np.int64)
+        a.append(own[p])
+        b.append(right[q])
+    a, b = np.concatenate(a), np.concatenate(b)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    once = np.unique(a * len(root) + b)
+    if np.array_equal(left, right):
+        total //= 2  # each pair was seen from both sides
+    return once // len(root), once % len(root), total > len(once)
 
 
-def compared(blocked: DataFrame, nearest: bool) -> DataFrame:
-    """(sig, a, b) from blocks (sig, i, j, at, cid, root, n, bits): pairs (sig null) and, if ``nearest``, buckets with more (a, b null)."""
+def compared(blocked: DataFrame, best: bool) -> DataFrame:
+    """(sig, a, b) from blocks (sig, i, j, at, cid, root, n, bits): pairs (sig null) and, if ``best``, buckets with more (a, b null).
+
+    Blocks that find the same pair again in one task leave it out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for rows in _groups(batches, 3):
-            edges = [0]
             keys = [rows.column(k).to_numpy() for k in range(3)]
-            edges += (np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])) + 1).tolist()
+            edges = [0, *(np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])) + 1).tolist()]
             at, cid, root, n = (rows.column(k).to_numpy() for k in range(3, 7))
             bits = rows.column(7).to_pylist()
-            first, second, again = [], [], []
+            found: list[tuple[int, int]] = []
+            again = []
             for p, q in zip(edges, [*edges[1:], rows.num_rows], strict=True):
                 i, j = keys[1][p], keys[2][p]
                 left, right = np.flatnonzero(at[p:q] == i), np.flatnonzero(at[p:q] == j)
                 if not len(left) or not len(right) or (root[p:q] == root[p]).all():
                     continue
-                a, b, more = _candidates(cid[p:q], root[p:q], n[p:q], bits[p:q], left, right, nearest)
-                first.append(a)
-                second.append(b)
-                if len(more):
-                    again.append(keys[0][p])
-            if first:
-                a, b = np.concatenate(first), np.concatenate(second)
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                once = np.ones(len(a), bool)
-                once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                yield _batch(sig=pa.nulls(int(once.sum()), pa.int64()), a=a[once], b=b[once])
+                a, b, more = _candidates(root[p:q], n[p:q], bits[p:q], left, right, best)
+                a, b = cid[p:q][a], cid[p:q][b]
+                for pair in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
+                    if pair not in seen:
+                        found.append(pair)
+                        if len(seen) < SEEN:
+                            seen.add(pair)
+                if more:
+                    again.append(int(keys[0][p]))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield _batch(sig=pa.nulls(len(a), pa.int64()), a=np.array(a, np.int64), b=np.array(b, np.int64))
             if again:
                 yield _batch(sig=np.array(again, np.int64), a=pa.nulls(len(again), pa.int64()), b=pa.nulls(len(again), pa.int64()))
 
@@ -401,18 +407,14 @@ def within_hot(members: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFr
         edges = edges.unionByName(verified(pairs.join(edges, ["a", "b"], "left_anti"), texts))
     own = small(stage(members.select("cid").distinct(), "hot-classes"), FEW_IDS)
     bits = small(stage(parities_of(texts.join(own, "cid", "left_semi")), "parities"), FEW_PARITIES)
-    for nearest in (True, False):
+    for best in (True, False):
         rows = stage(_with_roots(members, "cid", edges), "rooted")
         mixed = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         mixed = mixed.where("lo <> hi").select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
         blocked = rows.join(mixed, "sig").withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        # nearest: each block against all, so that each row sees every other; else each two blocks once
         blocked = blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        if nearest:
-            both = blocked.select("*", F.explode(F.when(F.col("o") == F.col("at"), F.array(F.struct(F.col("at").alias("i"), F.col("at").alias("j")))).otherwise(F.array(F.struct(F.col("at").alias("i"), F.col("o").alias("j")), F.struct(F.col("o").alias("i"), F.col("at").alias("j"))))).alias("ij")).select("sig", "cid", "root", "at", "ij.i", "ij.j")
-        else:
-            both = blocked.select("sig", "cid", "root", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
-        found = stage(compared(both.join(bits, "cid"), nearest), "compared")
+        both = blocked.select("sig", "cid", "root", "at", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"))
+        found = stage(compared(both.join(bits, "cid"), best), "compared")
         edges = edges.unionByName(verified(found.where("a is not null").select("a", "b").distinct(), texts))
         members = members.join(found.where("sig is not null").select("sig").distinct(), "sig", "left_semi")
     return edges
