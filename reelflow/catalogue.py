@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelflow import views
-from reelflow.functions import bits, encoding, pixels
+from reelflow.functions import bits, encoding, pixels, rational
 from reelflow.operators import access, gop, index, metadata, mux, resample, sessions, trim
 from reelflow.plans.frame_plan import FramePlan
 from reelflow.plans.frames import Frames
-from reelflow.views import LOG_SQL, PACKETS_SQL, PLANES_SQL, SHIPMENTS_SQL, STREAMS_SQL
+from reelflow.sources import y4m
+from reelflow.views import CLIPS_SQL, LOG_SQL, PACKETS_SQL, PLANES_SQL, SHIPMENTS_SQL, STREAMS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -544,3 +545,119 @@ def q40_nal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.concat(F.unhex(F.lit("000000016742C01E")), F.encode("p_name", "utf-8"), F.unhex(F.lit("00000001680102000001")), F.encode("p_type", "utf-8"))
     views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), unit.alias("stream")).createOrReplaceTempView("reel_streams")
     return spark.sql("select id, nal_idx, nal_offset, nal_type, size from reel_streams, lateral reel_nal_units(stream)")
+
+
+@query("""WITH v AS (SELECT p_partkey AS id, p_partkey % 1000 - 500 AS v FROM part), b AS (SELECT id, v, bin(CASE WHEN v > 0 THEN 2 * v ELSE 1 - 2 * v END) AS s FROM v)
+SELECT id, v, repeat('0', len(s) - 1) || s AS code, v AS decoded FROM b""")
+def q36b_signed_exp_golomb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("p_partkey") % 1000 - 500
+    code = bits.se_encode(v)
+    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), v.alias("v"), code.alias("code"), bits.se_decode(F.concat(code, F.lit("0110"))).alias("decoded"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, '00000' || p_partkey % 7 || 'FF00000' || p_partkey % 5 || 'FF00000' || p_partkey % 4 || 'FF' AS raw FROM part)
+SELECT id, raw, regexp_replace(raw, '0000(0[0-3])FF', '000003\\1FF', 'g') AS safe, raw AS again FROM p""")
+def q40b_emulation_prevention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [F.concat(F.lit("00000"), (F.col("p_partkey") % k).cast("string"), F.lit("FF")) for k in (7, 5, 4)]
+    rows = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.unhex(F.concat(*parts)).alias("raw"))
+    rows = rows.withColumn("safe", bits.insert_prevention_udf("raw")).withColumn("again", bits.strip_prevention_udf("safe"))
+    return rows.select("id", *[F.hex(c).alias(c) for c in ("raw", "safe", "again")])
+
+
+def _axis_sql(name: str, size: int, to: int) -> str:
+    at = f"greatest(0::DOUBLE, least((i + 0.5::DOUBLE) * {size} / {to} - 0.5::DOUBLE, {size - 1}::DOUBLE))"
+    return f"{name} AS (SELECT i, floor(t)::INTEGER AS lo, least(floor(t)::INTEGER + 1, {size - 1}) AS hi, t - floor(t) AS w FROM (SELECT i, {at} AS t FROM range({to}) AS r(i)))"
+
+
+@query(CLIPS_SQL + f", {_axis_sql('down', 8, 6)}, {_axis_sql('across', 8, 5)}" + """, dots AS (
+  SELECT video_id, frame_idx, d.i AS y, a.i AS x, round_even((plane[d.lo * 8 + a.lo + 1] * (1 - a.w) + plane[d.lo * 8 + a.hi + 1] * a.w) * (1 - d.w)
+    + (plane[d.hi * 8 + a.lo + 1] * (1 - a.w) + plane[d.hi * 8 + a.hi + 1] * a.w) * d.w, 0) AS v
+  FROM clips, down AS d, across AS a WHERE frame_idx IN (1, 3, 5)),
+small AS (SELECT video_id, frame_idx, list((v / 65535)::FLOAT ORDER BY y, x) AS plane FROM dots GROUP BY ALL)
+SELECT video_id, frame_idx - 1 + rep AS out_idx, rep::INTEGER AS rep, frame_idx, 6 AS height, 5 AS width, plane FROM small, range(2) AS r(rep)""")
+def q41_view_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices, resizing, conversion to floats and repetition on pixels."""
+    clips = views.clips(spark, sf_dir)
+    packets = clips.select("video_id", F.col("frame_idx").alias("pos"), "pts", F.col("pts").alias("dts"))
+    view = Frames(packets)[1:7:2].resized((6, 5)).as_type("float32").repeat_each_frame(2)
+    return view.over(clips, 16).select("video_id", "out_idx", "rep", "frame_idx", "height", "width", "plane")
+
+
+@query(CLIPS_SQL + """, own AS (SELECT video_id, frame_idx, list_transform(plane, lambda v: floor(v / 257 + 0.5)::INTEGER) AS plane, max(frame_idx) OVER (PARTITION BY video_id) + 1 AS n FROM clips),
+slots AS (SELECT video_id, n, unnest(range(2 * n - 1)) AS out_idx FROM own WHERE frame_idx = 0)
+SELECT s.video_id, s.out_idx, o.frame_idx AS src_idx, o.plane FROM slots AS s JOIN own AS o ON o.video_id = s.video_id AND o.frame_idx = (s.out_idx + 1) // 2 WHERE s.out_idx >= s.n""")
+def q41b_resampled_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 25 a second in slots of 50 a second, as 8 bits, from the middle on. Every frame but the first is one slot early and fills two."""
+    clips = views.clips(spark, sf_dir)
+    packets = clips.select("video_id", F.col("frame_idx").alias("pos"), "pts", F.col("pts").alias("dts"))
+    out = Frames(packets).at_constant_rate(50).over(clips, 16)
+    n = clips.groupBy("video_id").agg(F.count("*").alias("n"))
+    return out.join(n, "video_id").where("out_idx >= n").select("video_id", "out_idx", "src_idx", "plane")
+
+
+@query(PACKETS_SQL + """, n AS (SELECT video_id, count(*) // 3 * 2 AS n, video_id % 700 + 2 AS h, video_id % 900 + 16 AS w, (video_id % 50 + 1) / (video_id % 3 + 1)::DOUBLE AS fps FROM frames GROUP BY video_id)
+SELECT video_id, format('Frames({}x{}, {:.4g} fps, {} frames)', w, h, fps / 3 * 2, n) AS text FROM n""")
+def q42_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets, v = views.packets(spark, sf_dir), F.col("video_id")
+    streams = packets.select("video_id").distinct().select("video_id", (v % 50 + 1).alias("fps_num"), (v % 3 + 1).alias("fps_den"), (v % 900 + 16).cast("int").alias("width"), (v % 700 + 2).cast("int").alias("height"))
+    return Frames(packets, streams)[2::3].repeat_each_frame(2).descriptions()
+
+
+def _rgb_sql(y: str, u: str, v: str, n: int, matrix: str) -> str:
+    value = lambda m: f"{y} * {m[0]!r}::DOUBLE + {u} * {m[1]!r}::DOUBLE + {v} * {m[2]!r}::DOUBLE + {m[3]!r}::DOUBLE"
+    return ", ".join(f"list_transform(range(0, {n}), lambda i: floor(least(greatest({value(m)}, 0.0), 65535.0) + 0.5)::INTEGER) AS {c}" for m, c in zip(_TWIST_ROWS[matrix], "rgb", strict=True))
+
+
+_CHROMA = "plane[(i // 16) * 4 + (i % 8) // 2 + {at}]"
+
+
+@query(PLANES_SQL + f""" SELECT vec_id, 'p016' AS kind, flatten(list_transform(range(33, 41), lambda i: [plane[i], plane[i + 8]])) AS uv, {_rgb_sql("plane[i + 1]", _CHROMA.format(at=33), _CHROMA.format(at=41), 32, "bt709 limited16")} FROM planes
+UNION ALL SELECT vec_id, 'yuv444' AS kind, NULL AS uv, {_rgb_sql("plane[i + 1]", "plane[i + 17]", "plane[i + 33]", 16, "bt601 limited16")} FROM planes""")
+def q43_planar_to_rgb16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes as 420 frames of 8 x 4 by way of the semi-planar layouts, and as 444 frames of 4 x 4."""
+    part = lambda at, n: F.slice("plane", at, n)
+    semi = pixels.yuv420_to_nv12(part(1, 32), part(33, 8), part(41, 8))
+    wide = pixels.nv12_to_p016(F.col("semi.y"), F.col("semi.uv"))
+    rows = views.planes(spark, sf_dir).withColumn("semi", semi).withColumn("wide", wide)
+    p016 = F.struct(F.lit("p016").alias("kind"), F.col("wide.uv").alias("uv"), pixels.p016_to_rgb16(F.col("wide.y"), F.col("wide.uv"), 8, 4).alias("rgb"))
+    full = F.struct(F.lit("yuv444").alias("kind"), F.lit(None).cast("array<int>").alias("uv"), pixels.yuv444_to_rgb16(part(1, 16), part(17, 16), part(33, 16), "bt601").alias("rgb"))
+    each = rows.select("vec_id", F.explode(F.array(p016, full)).alias("t"))
+    return each.select("vec_id", "t.kind", "t.uv", *[F.transform("t.rgb", _field(n)).alias(n) for n in "rgb"])
+
+
+@query(PLANES_SQL + """, c AS (SELECT vec_id, list_transform(plane, lambda v: v % 256) AS p FROM planes),
+k AS (SELECT vec_id, list_transform(range(1, 17), lambda i: p[i] * 0.257::DOUBLE + p[i + 16] * 0.504::DOUBLE + p[i + 32] * 0.098::DOUBLE + 16::DOUBLE) AS y,
+  list_transform(range(1, 17), lambda i: p[i] * -0.148::DOUBLE + p[i + 16] * -0.291::DOUBLE + p[i + 32] * 0.439::DOUBLE + 128::DOUBLE) AS u,
+  list_transform(range(1, 17), lambda i: p[i] * 0.439::DOUBLE + p[i + 16] * -0.368::DOUBLE + p[i + 32] * -0.071::DOUBLE + 128::DOUBLE) AS v FROM c)
+SELECT vec_id, list_transform(y, lambda v: floor(v + 0.5)::INTEGER) AS y, flatten(list_transform([1, 3, 9, 11], lambda i: [floor((u[i] + u[i + 1] + u[i + 4] + u[i + 5]) / 4 + 0.5)::INTEGER, floor((v[i] + v[i + 1] + v[i + 4] + v[i + 5]) / 4 + 0.5)::INTEGER])) AS uv,
+  list_transform(range(0, 16), lambda i: floor((p[(i // 4) * 16 + (i % 4) * 2 + 1] + p[(i // 4) * 16 + (i % 4) * 2 + 2] + p[(i // 4) * 16 + (i % 4) * 2 + 9] + p[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4 + 0.5)::INTEGER) AS quarter
+FROM k JOIN c USING (vec_id)""")
+def q44_rgb_to_nv12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three colour planes of 4 x 4 as a semi-planar frame, and a chroma plane of 8 x 8 as one of 420."""
+    p = F.transform("plane", lambda v: v % 256)
+    rows = views.planes(spark, sf_dir).select("vec_id", p.alias("p"))
+    out = pixels.rgb_to_nv12(F.slice("p", 1, 16), F.slice("p", 17, 16), F.slice("p", 33, 16), 4, 4)
+    return rows.select("vec_id", out.alias("o"), pixels.chroma_subsample(F.col("p"), 8, 8, "420").alias("quarter")).select("vec_id", "o.y", "o.uv", "quarter")
+
+
+@query(LOG_SQL + """, kept AS (SELECT *, sha256(writer_id || ':' || seq) AS frame FROM sessions WHERE kind = 'append' AND valid),
+files AS (SELECT writer_id, session, count(*) AS n_frames, string_agg('FRAME' || chr(10) || frame, '' ORDER BY seq) AS body FROM kept GROUP BY ALL)
+SELECT writer_id, session, n_frames, CASE WHEN writer_id % 4 = 3 THEN 'start without fps' ELSE '' END AS error,
+  CASE WHEN writer_id % 4 <> 3 THEN md5('YUV4MPEG2 W8 H8 F25:' || writer_id % 4 + 1 || ' Ip A1:1 Cmono' || chr(10) || body) END AS file_md5 FROM files""")
+def q45_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of the logs as files, each frame the 64 characters of a hash."""
+    w, start = F.col("writer_id"), F.col("kind") == "start"
+    frame = F.encode(F.sha2(F.concat_ws(":", "writer_id", "seq"), 256), "utf-8")
+    rate = F.when(start & (w % 4 != 3), F.lit(25))
+    log = views.writer_log(spark, sf_dir).select("writer_id", "seq", "kind", rate.alias("fps_num"), F.when(start, w % 4 + 1).alias("fps_den"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit("uint8").alias("dtype"), frame.alias("data"))
+    return y4m.encode_sessions(log, chroma="mono").select("writer_id", "session", "n_frames", "error", F.md5("data").alias("file_md5"))
+
+
+@query("""SELECT p_partkey AS id, p_partkey * 100003 AS ticks, p_partkey * 100003 * 30000 // (90000 * 1001) AS frames, p_partkey * 100003 * 1000 // 90000 AS ms,
+  CASE p_partkey % 5 WHEN 0 THEN 2997 WHEN 1 THEN 2997 WHEN 2 THEN 30000 WHEN 3 THEN 2359 ELSE 1 END AS num, CASE p_partkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 125 WHEN 2 THEN 1001 WHEN 3 THEN 81 ELSE 2 END AS den FROM part""")
+def q46_rational_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of 1/90000 s in frames of 30000/1001 a second and in milliseconds, and rates as fractions."""
+    rate = F.element_at(F.array(*[F.lit(x) for x in (29.97, 23.976, 30000 / 1001, 29.123456789, 0.5)]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    rows = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 100_003).alias("ticks"), rational.fraction_udf()(rate).alias("q"))
+    frames, ms = rational.rescale("ticks", "1", "90000", "1001", "30000"), rational.rescale("ticks", "1", "90000", "1", "1000")
+    return rows.select("id", "ticks", frames.cast("long").alias("frames"), ms.cast("long").alias("ms"), "q.num", "q.den")

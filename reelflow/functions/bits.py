@@ -36,6 +36,12 @@ def ue_decode(code: Column) -> Column:
     return F.conv(code.substr(zeros + 1, zeros + 1), 2, 10).cast("long") - 1
 
 
+def se_decode(code: Column) -> Column:
+    """The value of a signed code that starts the string."""
+    v = ue_decode(code)
+    return F.when(v % 2 == 1, F.floor((v + 1) / 2)).otherwise(-F.floor(v / 2)).cast("long")
+
+
 class Bits:
     """A cursor over a string of bits held as an integer."""
 

@@ -18,6 +18,8 @@ FULL_RANGE = {"bt601": (1.402, -0.344136, -0.714136, 1.772), "bt709": (1.5748, -
 #: The same for limited range; luma factor 1.164384. Fixed values of the standards.
 LIMITED_RANGE = {"bt601": (1.596027, -0.391762, -0.812968, 2.017232), "bt709": (1.792741, -0.213249, -0.532909, 2.112402)}
 LIMITED_LUMA = 1.164384
+#: Y, Cb and Cr of 8-bit R, G and B in limited range, with their offsets. Fixed values.
+FROM_RGB = ((0.257, 0.504, 0.098, 16.0), (-0.148, -0.291, 0.439, 128.0), (0.439, -0.368, -0.071, 128.0))
 
 
 def twist_matrix(space: str, mode: str) -> list[list[float]]:
@@ -64,6 +66,20 @@ def widen(plane: Column) -> Column:
     return F.transform(plane, lambda v: v * 257)
 
 
+def narrow(plane: Column) -> Column:
+    """16 bits to 8: over 257, rounded half up."""
+    return F.transform(plane, lambda v: F.floor(v / 257 + 0.5).cast("int"))
+
+
+def converted(plane: Column, dtype: str) -> Column:
+    """A plane of the type ``internal_dtype(dtype)`` as ``dtype``: floats are shares of the greatest value."""
+    if dtype == "float16":
+        return to_half(plane)
+    if dtype.startswith("float"):
+        return to_float(plane).cast("array<float>" if dtype == "float32" else "array<double>")
+    return plane.cast("array<int>")
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def to_half(planes: pd.Series) -> pd.Series:
     """16-bit values as half floats over the greatest half: clipped to 65504, rounded to half, divided in half."""
@@ -114,10 +130,41 @@ def upsample_chroma(plane: Column, width: int, height: int) -> Column:
 def nv12_to_rgb(y: Column, uv: Column, width: int, height: int, space: str = "bt601", mode: str = "full8") -> Column:
     """array<struct<r, g, b>> of a semi-planar 420 frame."""
     parts = deinterleave(uv)
-    u, v = (upsample_chroma(parts[k], width, height) for k in "uv")
+    return rgb_of(y, *(upsample_chroma(parts[k], width, height) for k in "uv"), space, mode)
+
+
+def rgb_of(y: Column, u: Column, v: Column, space: str, mode: str) -> Column:
+    """array<struct<r, g, b>> of planes of the same size (444)."""
     return F.transform(F.arrays_zip(y.alias("y"), u.alias("u"), v.alias("v")), lambda p: colour_twist(p["y"], p["u"], p["v"], space, mode))
 
 
+def yuv444_to_rgb16(y: Column, u: Column, v: Column, space: str = "bt709") -> Column:
+    return rgb_of(y, u, v, space, "limited16")
+
+
+def p016_to_rgb16(y: Column, uv: Column, width: int, height: int, space: str = "bt709") -> Column:
+    return nv12_to_rgb(y, uv, width, height, space, "limited16")
+
+
+def yuv420_to_nv12(y: Column, u: Column, v: Column) -> Column:
+    """struct<y, uv> of three planes."""
+    return F.struct(y.alias("y"), interleave(u, v).alias("uv"))
+
+
+def nv12_to_p016(y: Column, uv: Column) -> Column:
+    """struct<y, uv> with the same numbers as 16-bit values, not scaled."""
+    return F.struct(y.cast("array<int>").alias("y"), uv.cast("array<int>").alias("uv"))
+
+
+def rgb_to_nv12(r: Column, g: Column, b: Column, width: int, height: int) -> Column:
+    """struct<y, uv> of 8-bit colour planes: limited range, chroma as the mean of 2 x 2 pixels, rounded half up."""
+    rgb = F.arrays_zip(r.alias("r"), g.alias("g"), b.alias("b"))
+    part = lambda m: lambda p: p["r"] * m[0] + p["g"] * m[1] + p["b"] * m[2] + m[3]
+    luma, cb, cr = (F.transform(rgb, part(m)) for m in FROM_RGB)
+    u, v = (rounded(area_resize(c, width, height, 2, 2)) for c in (cb, cr))
+    return F.struct(rounded(luma).alias("y"), interleave(u, v).alias("uv"))
+
+
 def output_mode(dtype: Column, chroma: Column, bit_depth: Column) -> Column:
     """struct<source, mode>: the native format of a stream and how it becomes the wanted type."""
     deep = bit_depth > 8
@@ -126,6 +173,24 @@ def output_mode(dtype: Column, chroma: Column, bit_depth: Column) -> Column:
     return F.struct(source.alias("source"), mode.alias("mode"))
 
 
+def _between(n: Column, to: Column) -> Column:
+    """array<struct<lo, hi, w>> along an axis of ``n`` pixels resized to ``to``: neighbours and the share of the upper one."""
+    centre = lambda i: F.greatest(F.lit(0.0), F.least((i + 0.5) * n / to - 0.5, n - 1.0))
+    near = lambda t: F.struct(F.floor(t).cast("int").alias("lo"), F.least(F.floor(t) + 1, n - 1).cast("int").alias("hi"), (t - F.floor(t)).alias("w"))
+    return F.transform(F.transform(F.sequence(F.lit(0), to - 1), centre), near)
+
+
+def resize(plane: Column, height: Column, width: Column, to_height: Column, to_width: Column) -> Column:
+    """An integer plane resized as ``bilinear`` does, rounded half to even."""
+
+    def value(y: Column, x: Column) -> Column:
+        row = lambda k: F.get(plane, y[k] * width + x["lo"]) * (1 - x["w"]) + F.get(plane, y[k] * width + x["hi"]) * x["w"]
+        return F.rint(row("lo") * (1 - y["w"]) + row("hi") * y["w"]).cast("int")
+
+    across = _between(width, to_width)
+    return F.flatten(F.transform(_between(height, to_height), lambda y: F.transform(across, lambda x: value(y, x))))
+
+
 def bilinear(frame: np.ndarray, height: int, width: int) -> np.ndarray:
     """A frame (h, w, c) resized with pixel centres aligned; integers are rounded."""
     h, w = frame.shape[:2]

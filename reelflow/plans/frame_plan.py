@@ -28,10 +28,15 @@ class FramePlan:
     dtype: str = "uint8"
     constant_rate: bool = False
     target_fps: Fraction | None = None
+    device: bool = False
 
     def __post_init__(self):
         if self.dtype not in DTYPES:
             raise ValueError(f"dtype must be one of {', '.join(DTYPES)}, not {self.dtype!r}")
+        lacking = {"float types": self.dtype.startswith("float"), "resizing": self.shape, "repetition": self.repeat != 1, "constant rates": self.constant_rate}
+        for what, asked in lacking.items():
+            if self.device and asked:
+                raise NotImplementedError(f"device views have no {what}")
 
     def sliced(self, key: slice) -> FramePlan:
         if not isinstance(key, slice):
@@ -65,6 +70,13 @@ class FramePlan:
         rate = None if fps is True else Fraction(fps).limit_denominator(100_000)
         return replace(self, constant_rate=True, target_fps=rate)
 
+    def as_type(self, dtype: str) -> FramePlan:
+        return replace(self, dtype=dtype)
+
+    def on_device(self) -> FramePlan:
+        """A plan that only allows what a device decoder can do: slices, single frames and integer types."""
+        return replace(self, device=True)
+
     def resolve(self, length: int) -> range:
         """Source ordinals of a sequence of ``length`` frames, before repetition."""
         out = range(length)
@@ -105,7 +117,8 @@ class FramePlan:
 
     def describe(self, height: int, width: int, fps: float, length: int) -> str:
         h, w = self.shape or (height, width)
-        return f"Frames({w}x{h}, {fps / self.step * self.repeat:.4g} fps, {self.count(length)} frames)"
+        kind = f", {self.dtype}" if self.device else ""
+        return f"Frames({w}x{h}, {fps / self.step * self.repeat:.4g} fps, {self.count(length)} frames{kind})"
 
 
 def _bound(given: int | None, length: Column, default: Column) -> Column:

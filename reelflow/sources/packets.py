@@ -8,11 +8,14 @@ Spark's own ``binaryFile`` source.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 from reelflow.plans.errors import DecodeError
 
@@ -52,20 +55,52 @@ def _runs(data: bytes, span: tuple[int, int] | None, form: str) -> list[tuple]:
     return [struct.unpack_from(form, data, span[0] + 8 + i * size) for i in range(min(n, (span[1] - span[0] - 8) // size))]
 
 
-def read_packets(data: bytes, path: str = "") -> Iterator[tuple]:
-    """Rows of ``SCHEMA``, stream by stream, in order of decoding."""
+def movie_header(file: BinaryIO) -> bytes:
+    """The movie box of a file that can be sought, without reading the media; empty if there is none."""
+    end, at = file.seek(0, 2), 0
+    while at + 8 <= end:
+        file.seek(at)
+        head = file.read(16)
+        size, kind = struct.unpack_from(">I4s", head)
+        if size == 1 and len(head) == 16:
+            size = struct.unpack_from(">Q", head, 8)[0]
+        size = size or end - at
+        if size < 8 or at + size > end:
+            break
+        if kind == b"moov":
+            file.seek(at)
+            return file.read(size)
+        at += size
+    return b""
+
+
+def _movie(data: bytes, path: str) -> tuple[int, int]:
     moov = _find(data, 0, len(data), b"moov")
     if moov is None:
         raise DecodeError(path, 0, ValueError("no movie header"))
-    number = 0
+    return moov
+
+
+def _scale(data: bytes, head: tuple[int, int]) -> int:
+    """Ticks per second of a movie or media header."""
+    return struct.unpack_from(">I", data, head[0] + (20 if data[head[0]] == 1 else 12))[0]
+
+
+def _tracks(data: bytes, moov: tuple[int, int]) -> Iterator[tuple[tuple, tuple, tuple, tuple]]:
+    """Spans of each track with samples, its media header, its handler and its sample tables."""
     for kind, a, b in _boxes(data, *moov):
         if kind != b"trak":
             continue
         mdhd, hdlr, stbl = (_find(data, a, b, b"mdia", x) for x in (b"mdhd", b"hdlr", b"minf"))
         stbl = _find(data, *stbl, b"stbl") if stbl else None
-        if not (mdhd and hdlr and stbl):
-            continue
-        scale = struct.unpack_from(">I", data, mdhd[0] + (20 if data[mdhd[0]] == 1 else 12))[0]
+        if mdhd and hdlr and stbl:
+            yield (a, b), mdhd, hdlr, stbl
+
+
+def read_packets(data: bytes, path: str = "") -> Iterator[tuple]:
+    """Rows of ``SCHEMA``, stream by stream, in order of decoding."""
+    for number, (_, mdhd, hdlr, stbl) in enumerate(_tracks(data, _movie(data, path))):
+        scale = _scale(data, mdhd)
         media = {b"vide": "video", b"soun": "audio"}.get(data[hdlr[0] + 8 : hdlr[0] + 12], "other")
         table = {k: (x, y) for k, x, y in _boxes(data, *stbl)}
         codec, width, height = "", 0, 0
@@ -87,7 +122,38 @@ def read_packets(data: bytes, path: str = "") -> Iterator[tuple]:
             shift = offsets[i] if i < len(offsets) else 0
             yield path, number, media, i, dts + shift, dts, not keys and b"stss" not in table or i + 1 in keys, sizes[i] if i < len(sizes) else None, scale, width, height, codec
             dts += step
-        number += 1
+
+
+def _edits(data: bytes, track: tuple[int, int]) -> list[tuple[int, int]]:
+    """(duration in movie ticks, start in media ticks or -1 for a pause) of a track's edit list."""
+    span = _find(data, *track, b"edts", b"elst")
+    if span is None:
+        return []
+    return [x[:2] for x in _runs(data, span, ">QqI" if data[span[0]] == 1 else ">IiI")]
+
+
+def read_shown(data: bytes, path: str = "") -> Iterator[tuple]:
+    """(path, stream_idx, frame_idx, pts): when the frames of the video streams are shown after their edit lists.
+
+    A frame before an edit's start or after its end is decoded but not shown; a pause shifts what follows. An edit of
+    no duration lasts to the end. Frames are found by their packets: nothing is decoded.
+    """
+    moov = _movie(data, path)
+    mvhd = _find(data, *moov, b"mvhd")
+    times: dict[int, list[int]] = {}
+    for row in read_packets(data, path):
+        if row[2] == "video":
+            times.setdefault(row[1], []).append(row[4])
+    for number, (track, mdhd, _, _) in enumerate(_tracks(data, moov)):
+        own, shown, base = sorted(times.get(number, [])), [], 0
+        media, movie, edits = _scale(data, mdhd), _scale(data, mvhd) if mvhd else 1, _edits(data, track)
+        for duration, start in edits:
+            length = duration * media // movie
+            if start >= 0:
+                shown += [t - start + base for t in own if start <= t and (not duration or t < start + length)]
+            base += length
+        shown = shown if edits else own
+        yield from ((path, number, i, t) for i, t in enumerate(shown))
 
 
 class _File(InputPartition):
@@ -104,7 +170,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _File) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            yield from read_packets(f.read(), partition.path)
+            yield from read_packets(movie_header(f), partition.path)
 
 
 class PacketSource(DataSource):
@@ -123,12 +189,28 @@ class PacketSource(DataSource):
 
 def packets_of(spark: SparkSession, folder: str, pattern: str = "*.mp4") -> DataFrame:
     """Packets of the files in a folder that Spark can list, whatever store it is in."""
+    return _rows_of(spark, folder, pattern, read_packets, SCHEMA)
+
+
+def shown_of(spark: SparkSession, folder: str, pattern: str = "*.mp4") -> DataFrame:
+    """``read_shown`` of the files in a folder."""
+    return _rows_of(spark, folder, pattern, read_shown, "path string, stream_idx int, frame_idx long, pts long")
+
+
+def video_of(packets: DataFrame) -> DataFrame:
+    """The packets of each path's first video stream; a path without one fails the query."""
+    first = F.min(F.when(F.col("kind") == "video", F.col("stream_idx"))).over(Window.partitionBy("path"))
+    none = F.raise_error(F.concat("path", F.lit(": no video stream"))).cast("boolean")
+    rows = packets.withColumn("first_idx", first)
+    return rows.where(F.when(F.col("first_idx").isNull(), none).otherwise(F.col("stream_idx") == F.col("first_idx"))).drop("first_idx")
+
 
+def _rows_of(spark: SparkSession, folder: str, pattern: str, reader: Callable, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        names = [x.split()[0] for x in schema.split(", ")]
         for files in batches:
             for path, data in zip(files["path"], files["content"], strict=True):
-                yield pd.DataFrame(read_packets(bytes(data), path), columns=names)
+                yield pd.DataFrame(reader(bytes(data), path), columns=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, schema)

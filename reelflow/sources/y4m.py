@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelflow.operators import sessions
 from reelflow.plans.errors import DecodeError, EncodeError
 
 FRAME_SCHEMA = "path string, frame_idx long, height int, width int, chroma string, fps_num long, fps_den long, data binary"
@@ -82,30 +83,70 @@ def publish(path: str, data: bytes) -> None:
         raise EncodeError(path, 0, cause=e) from e
 
 
+def _encoded(frames: pd.DataFrame, fps: tuple[int, int], chroma: str, path: str | None) -> tuple[str | None, bytes | None, str]:
+    """(path, data, error) of one sequence; with a path, the file is published there and data is None."""
+    h, w = int(frames["height"].iloc[0]), int(frames["width"].iloc[0])
+    if frames["height"].nunique() > 1 or frames["width"].nunique() > 1:
+        return None, None, "mixed shapes"
+    if h % 2 or w % 2:
+        return None, None, "odd size"
+    if any(len(x) != _PLANES[chroma](w, h) for x in frames["data"]):
+        return None, None, "data does not fit the size"
+    data = encode([bytes(x) for x in frames["data"]], w, h, *fps, chroma)
+    if path is None:
+        return None, data, ""
+    publish(path, data)
+    return path, None, ""
+
+
+def encode_sessions(log: DataFrame, folder: str | None = None, chroma: str = "444") -> DataFrame:
+    """One file per session of a writer: (writer_id, session, n_frames, path, data, error).
+
+    ``log``: (writer_id, seq, kind, fps_num, fps_den, height, width, dtype, data); starts carry the rate, appends the frames.
+    Messages outside a session count for nothing, a session without frames has no row and no file. What cannot be
+    written is an error row and leaves no file: a start without rate, types other than uint8, mixed or odd sizes.
+    A session must fit a task. With ``folder``, files are published there as ``<writer>_<session>.y4m``.
+    """
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        start, frames = pdf[pdf["kind"] == "start"].iloc[0], pdf[pdf["kind"] == "append"]
+        writer, session = int(start["writer_id"]), int(start["session"])
+        if frames.empty:
+            return pd.DataFrame()
+        path, data, error = None, None, ""
+        if pd.isna(start["fps_num"]) or pd.isna(start["fps_den"]):
+            error = "start without fps"
+        elif frames["dtype"].nunique(dropna=False) > 1:
+            error = "mixed dtypes"
+        elif frames["dtype"].iloc[0] != "uint8":
+            error = f"cannot write {frames['dtype'].iloc[0]}"
+        else:
+            path, data, error = _encoded(frames, (int(start["fps_num"]), int(start["fps_den"])), chroma, folder and f"{folder}/{writer}_{session}.y4m")
+        return pd.DataFrame({"writer_id": [writer], "session": [session], "n_frames": [len(frames)], "path": [path], "data": [data], "error": [error]})
+
+    rows = sessions.sessions(log).where("session > 0 and valid and kind in ('start', 'append')")
+    rows = rows.select(F.col("writer_id").cast("long").alias("writer_id"), "session", "seq", "kind", "fps_num", "fps_den", "height", "width", "dtype", "data")
+    return rows.groupBy("writer_id", "session").applyInPandas(write, "writer_id long, session long, n_frames long, path string, data binary, error string")
+
+
+def raise_failed(written: DataFrame) -> None:
+    """EncodeError for a failed session of ``encode_sessions`` (kept or written before, as this reads it), if there is one."""
+    bad = written.where("error <> ''").select("writer_id", "session", "error").first()
+    if bad is not None:
+        raise EncodeError(f"{bad['writer_id']}_{bad['session']}.y4m", 0, cause=ValueError(bad["error"]))
+
+
 def encode_sequences(frames: DataFrame, folder: str | None = None, fps: tuple[int, int] = (30, 1), chroma: str = "444") -> DataFrame:
     """One file per seq_id of (seq_id, frame_idx, height, width, data): (seq_id, n_frames, path, data, error).
 
     With ``folder`` (shared by all executors) files are published there and ``data`` is null; without, the file
     is the result. A sequence of mixed or odd sizes is an error row and leaves no file; one without frames has no row.
     """
-    size = _PLANES[chroma]
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        seq, h, w = pdf["seq_id"].iloc[0], int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
-        error, path, data = "", None, None
-        if pdf["height"].nunique() > 1 or pdf["width"].nunique() > 1:
-            error = "mixed shapes"
-        elif h % 2 or w % 2:
-            error = "odd size"
-        elif any(len(x) != size(w, h) for x in pdf["data"]):
-            error = "data does not fit the size"
-        else:
-            data = encode([bytes(x) for x in pdf["data"]], w, h, *fps, chroma)
-            if folder is not None:
-                path = f"{folder}/{seq}.y4m"
-                publish(path, data)
-                data = None
+        seq = pdf["seq_id"].iloc[0]
+        path, data, error = _encoded(pdf.sort_values("frame_idx"), fps, chroma, folder and f"{folder}/{seq}.y4m")
         return pd.DataFrame({"seq_id": [seq], "n_frames": [len(pdf)], "path": [path], "data": [data], "error": [error]})
 
     rows = frames.select(F.col("seq_id").cast("long").alias("seq_id"), "frame_idx", "height", "width", "data")

@@ -19,6 +19,12 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def image_stream(spark: SparkSession, folder: str, pattern: str = "*.jpg", files_per_trigger: int = 32) -> DataFrame:
+    """(path, modificationTime, length, content) of image files as they appear in a folder."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return reader.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+
+
 def running_max(packets: DataFrame) -> DataFrame:
     """(video_id, pos, pts, run_max) of a stream of (video_id, pos, pts, dts); state: one number per video.
 

@@ -124,6 +124,18 @@ PLANES_SQL = """
 WITH planes AS (SELECT vec_id, list_transform(embedding, lambda v: floor((v::DOUBLE + 1) * 32767)::INTEGER) AS plane FROM embeddings)"""
 
 
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes as videos of eight frames, 40 ms apart: (video_id, frame_idx, pts, height, width, plane)."""
+    video = F.floor(F.col("vec_id") / 8)
+    rows = planes(spark, sf_dir).select(video.alias("video_id"), "vec_id", "plane")
+    rows = rows.withColumn("frame_idx", (F.row_number().over(Window.partitionBy("video_id").orderBy("vec_id")) - 1).cast("long"))
+    return rows.select("video_id", "frame_idx", (F.col("frame_idx") * 40_000).alias("pts"), F.lit(8).alias("height"), F.lit(8).alias("width"), "plane")
+
+
+CLIPS_SQL = PLANES_SQL + """,
+clips AS (SELECT vec_id // 8 AS video_id, row_number() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) - 1 AS frame_idx, plane FROM planes)"""
+
+
 def writer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as writer logs: (writer_id, seq, kind); six conversations share a writer, their last turns end a session or not."""
     rows = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 6).alias("writer_id"), "conv_id", "turn")

@@ -104,3 +104,18 @@ def test_fractions_and_ticks(spark):
     df = spark.createDataFrame([(29.97,), (None,)], "f double").select(rational.fraction_udf()("f").alias("q"))
     assert [tuple(r["q"]) if r["q"] else None for r in df.collect()][0] == (2997, 100)
     assert spark.range(1).select(rational.rescale("90001L", "1L", "90000L", "1L", "1000L").alias("t")).first()["t"] == 1000
+
+
+@pytest.mark.parametrize(("h", "w", "to_h", "to_w"), [(4, 4, 2, 2), (3, 5, 8, 2), (1, 1, 3, 3), (5, 4, 5, 4)])
+def test_planes_are_resized_as_frames(spark, h, w, to_h, to_w):
+    x = np.random.default_rng(h * w).integers(0, 65536, (h, w, 1)).astype(np.uint16)
+    df = spark.createDataFrame([(x.ravel().tolist(), h, w)], "p array<int>, h int, w int")
+    got = df.select(pixels.resize(F.col("p"), F.col("h"), F.col("w"), F.lit(to_h), F.lit(to_w)).alias("p")).first()["p"]
+    assert got == pixels.bilinear(x, to_h, to_w).ravel().tolist()
+
+
+def test_cropping_a_stream_as_a_column(spark):
+    stream = b"\x00\x00\x01" + sps()
+    df = spark.createDataFrame([(stream, 3, 5), (None, 1, 1)], "d binary, r int, b int").select(bits.crop_stream_udf("d", "r", "b").alias("d"))
+    got = [r["d"] for r in df.collect()]
+    assert bytes(got[0]) == bits.crop_stream(stream, 3, 5) and got[1] is None

@@ -127,3 +127,36 @@ def test_resampled_view_follows_the_source_rate(spark, packets):
 def test_slices_without_negative_bounds_need_no_window(spark, packets):
     plan = lambda p: access.slice_frames(Frames(packets).index, p)._jdf.queryExecution().executedPlan().toString()
     assert plan(chain([slice(3, 9), slice(1, None, 2)])).count("Window ") < plan(chain([slice(-5, None)])).count("Window ") + 1
+
+
+def test_device_views_refuse_what_a_device_lacks():
+    p = FramePlan().on_device()
+    for change in (lambda q: q.resized((4, 4)), lambda q: q.repeat_each_frame(2), lambda q: q.at_constant_rate(), lambda q: q.as_type("float32")):
+        with pytest.raises(NotImplementedError):
+            change(p)
+        with pytest.raises(NotImplementedError):
+            change(FramePlan()).on_device()
+    assert p.sliced(slice(2, None)).as_type("uint16").describe(64, 48, 25.0, 10) == "Frames(48x64, 25 fps, 8 frames, uint16)"
+
+
+@pytest.mark.parametrize(("dtype", "depth", "want"), [("uint8", 8, [0, 255]), ("uint8", 16, [0, 1]), ("uint16", 8, [0, 65535]), ("uint16", 16, [0, 255]), ("float64", 8, [0.0, 1.0]), ("float32", 16, [0.0, 255 / 65535])])
+def test_types_of_pixels(spark, packets, dtype, depth, want):
+    decoded = spark.createDataFrame([(1, i, 1, 2, [0, 255], "x") for i in range(30)] + [(2, 0, 1, 2, None, "x")], "video_id long, frame_idx long, height int, width int, plane array<int>, out_idx string")
+    rows = Frames(packets).as_type(dtype).over(decoded, depth).orderBy("video_id", "out_idx").collect()
+    assert len(rows) == 31 and rows[-1]["plane"] is None
+    assert rows[0]["plane"] == pytest.approx(want, rel=1e-6)
+
+
+def test_half_floats_and_sizes_through_a_view(spark, packets):
+    decoded = spark.createDataFrame([(2, i, h, w, [7] * (h * w)) for i, (h, w) in enumerate([(2, 2), (1, 3), (4, 1)])], "video_id long, frame_idx long, height int, width int, plane array<int>")
+    rows = Frames(packets).resized((2, 3)).repeat_each_frame(2).over(decoded).collect()
+    assert len(rows) == 6 and all(r["plane"] == [7] * 6 and (r["height"], r["width"]) == (2, 3) for r in rows)
+    half = Frames(packets).as_type("float16").over(decoded).where("frame_idx = 0").first()["plane"]
+    assert half == pytest.approx([7 * 257 / 65504] * 4, rel=1e-3)
+
+
+def test_a_kept_index_is_shared(packets):
+    view = Frames(packets).with_kept_index()
+    assert view[::2].resized((2, 2)).index is view.index and view.index.is_cached
+    assert "step" in repr(view[::2]) or "slices" in repr(view[::2])
+    view.index.unpersist()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import struct
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from reelflow.operators import index
 from reelflow.plans.errors import DecodeError, EncodeError
 from reelflow.sources import images, packets, y4m
 from reelflow.streaming import live
+from reelflow.streaming.writer import LOG_SCHEMA, LogWriter
 
 PNG = base64.b64decode("iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJAAAADUlEQVR42mP8z8BQDwAEhQGAhKmMIQAAAABJRU5ErkJggg==")
 
@@ -24,12 +26,13 @@ def table(kind, *rows):
     return box(kind, struct.pack(">II", 0, len(rows)), *rows)
 
 
-def track(kind, scale, steps, shifts, keys, sizes, size=(0, 0)):
+def track(kind, scale, steps, shifts, keys, sizes, size=(0, 0), edits=()):
     entry = struct.pack(">I4s", 86, b"avc1" if kind == b"vide" else b"mp4a") + b"\0" * 24 + struct.pack(">HH", *size) + b"\0" * 50
     stbl = box(b"stbl", table(b"stsd", entry), table(b"stts", *(struct.pack(">II", n, d) for n, d in steps)), *([table(b"ctts", *(struct.pack(">Ii", n, d) for n, d in shifts))] if shifts else []), *([table(b"stss", *(struct.pack(">I", k) for k in keys))] if keys else []), box(b"stsz", struct.pack(">III", 0, 0, len(sizes)), *(struct.pack(">I", s) for s in sizes)))
     mdhd = box(b"mdhd", struct.pack(">IIIII", 0, 0, 0, scale, 0), b"\0" * 4)
     hdlr = box(b"hdlr", b"\0" * 8, kind, b"\0" * 12)
-    return box(b"trak", box(b"mdia", mdhd, hdlr, box(b"minf", stbl)))
+    edts = [box(b"edts", table(b"elst", *(struct.pack(">IiI", d, t, 1 << 16) for d, t in edits)))] if edits else []
+    return box(b"trak", *edts, box(b"mdia", mdhd, hdlr, box(b"minf", stbl)))
 
 
 MP4 = box(b"ftyp", b"isom") + box(b"moov", track(b"vide", 30, [(5, 1)], [(1, 1), (1, 3), (1, 0), (1, 0), (1, 1)], [1], [9, 8, 7, 6, 5], (64, 48)), track(b"soun", 48000, [(2, 1024)], [], [], [4, 4]))
@@ -137,3 +140,124 @@ def test_writer_stream(spark, tmp_path):
     q = live.write_batches(live.writer_sessions(live.file_stream(spark, str(tmp_path), schema, 1)), lambda df, _: got.extend(tuple(r)[1:] for r in df.collect()), str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
     assert sorted(got) == [(1, 0, "error"), (1, 2, "ended"), (2, 1, "replaced"), (3, 0, "quit")]
+
+
+def movie(edits):
+    video = track(b"vide", 30, [(5, 10)], [(1, 10), (1, 30), (1, 0), (1, 0), (1, 10)], [1], [1] * 5, (64, 48), edits)
+    return box(b"ftyp", b"isom") + box(b"moov", box(b"mvhd", struct.pack(">IIII", 0, 0, 0, 60)), track(b"soun", 48000, [(2, 1024)], [], [], [4, 4]), video)
+
+
+@pytest.mark.parametrize(("edits", "want"), [
+    ((), [10, 20, 30, 40, 50]),
+    (((0, 10),), [0, 10, 20, 30, 40]),
+    (((80, 20),), [0, 10, 20, 30]),
+    (((60, -1), (0, 10)), [30, 40, 50, 60, 70]),
+    (((20, 10), (40, 40)), [0, 10, 20]),
+])
+def test_edit_lists(spark, tmp_path, edits, want):
+    (tmp_path / "a.mp4").write_bytes(movie(edits))
+    rows = packets.shown_of(spark, str(tmp_path)).orderBy("frame_idx").collect()
+    assert [r["pts"] for r in rows] == want and {r["stream_idx"] for r in rows} == {1}
+
+
+def test_first_video_stream(spark, tmp_path):
+    (tmp_path / "a.mp4").write_bytes(movie(()))
+    assert {r["stream_idx"] for r in packets.video_of(packets.packets_of(spark, str(tmp_path))).collect()} == {1}
+    (tmp_path / "a.mp4").write_bytes(box(b"moov", track(b"soun", 48000, [(2, 1024)], [], [], [4, 4])))
+    with pytest.raises(Exception, match="no video stream"):
+        packets.video_of(packets.packets_of(spark, str(tmp_path))).collect()
+
+
+def test_only_the_movie_header_is_read(tmp_path):
+    path = tmp_path / "a.mp4"
+    for media in (box(b"mdat", b"x" * 100_000), struct.pack(">I4sQ", 1, b"mdat", 116) + b"x" * 100):
+        path.write_bytes(box(b"ftyp", b"isom") + media + MP4)
+        with path.open("rb") as f:
+            assert list(packets.read_packets(packets.movie_header(f))) == list(packets.read_packets(MP4))
+    path.write_bytes(MP4[:40])
+    with path.open("rb") as f:
+        assert packets.movie_header(f) == b""
+
+
+def test_a_writer_and_its_files(spark, tmp_path):
+    log, out = str(tmp_path / "log"), tmp_path / "out"
+    out.mkdir()
+    with LogWriter(spark, log, 7, most=3) as w:
+        with pytest.raises(ValueError):
+            w.append_data(np.zeros((3, 4, 6), np.uint8))
+        with pytest.raises(ValueError):
+            w.end_sequence()
+        with pytest.raises(ValueError):
+            w.start_sequence("x", 0)
+        w.start_sequence("a", 29.97)
+        for i in range(5):
+            w.append_data(np.full((3, 4, 6), i, np.uint8))
+        assert w.accepts_new_frames
+        w.start_sequence("b", 25)
+        w.append_data(np.zeros((3, 4, 6), np.uint16))
+        w.end_sequence()
+        assert not w.accepts_new_frames
+        w.start_sequence("empty", 25)
+        w.start_sequence("c", 25)
+        w.append_data(np.zeros((3, 5, 6), np.uint8))
+    done = y4m.encode_sessions(spark.read.parquet(log), str(out))
+    rows = [(r["session"], r["n_frames"], r["error"]) for r in done.orderBy("session").collect()]
+    assert rows == [(1, 5, ""), (2, 1, "cannot write uint16"), (4, 1, "odd size")]
+    assert [p.name for p in out.iterdir()] == ["7_1.y4m"]
+    back = y4m.frames_of(spark, str(out)).orderBy("frame_idx").collect()
+    assert [bytes(r["data"])[0] for r in back] == [0, 1, 2, 3, 4] and (back[0]["fps_num"], back[0]["fps_den"]) == (2997, 100)
+    with pytest.raises(EncodeError, match="7_"):
+        y4m.raise_failed(done)
+    y4m.raise_failed(done.where("session = 1"))
+
+
+def test_a_writer_drains_discards_and_passes_errors_on(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    log, seen = str(tmp_path / "log"), []
+    (tmp_path / "log").mkdir()
+    schema = StructType.fromDDL(LOG_SCHEMA)
+    run = lambda write, name: live.write_batches(live.file_stream(spark, log, schema), write, str(tmp_path / name))
+    query = run(lambda df, _: seen.extend(r["kind"] for r in df.orderBy("seq").collect()), "cp1")
+    w = LogWriter(spark, log, 1, query)
+    w.start_sequence("a", 25)
+    w.append_data(np.zeros((2, 2), np.uint8))
+    w.end_sequence()
+    assert seen == ["start", "append", "end"]
+    w.start_sequence("b", 25)
+    with pytest.warns(RuntimeWarning, match="1 messages"):
+        w.shutdown()
+    assert not w.accepts_new_frames and not query.isActive and spark.read.parquet(log).count() == 3
+
+    def broken(df, _):
+        raise ValueError("disk gone")
+
+    w = LogWriter(spark, log, 2, run(broken, "cp2"))
+    w.start_sequence("c", 25)
+    with pytest.raises(RuntimeError, match="writing c failed.*"):
+        w.end_sequence()
+    w.close()
+
+
+def test_images_as_they_appear(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(PNG)
+    (tmp_path / "in" / "b.txt").write_bytes(b"no")
+    got = []
+    live.write_batches(live.image_stream(spark, str(tmp_path / "in"), "*.png"), lambda df, _: got.extend(bytes(r["content"]) for r in df.collect()), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    assert got == [PNG]
+
+
+def test_late_frames_are_dropped(spark, tmp_path):
+    times = ["2024-01-01 00:00:01", "2024-01-01 00:10:00", "2024-01-01 00:00:02", "2024-01-01 00:30:00"]
+    for k, t in enumerate(times):
+        spark.createDataFrame([(1, t)], "video_id long, t string").selectExpr("video_id", "cast(t as timestamp) as t").coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    got: list = []
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(len(times)):
+        next((tmp_path / f"in{k}").glob("*.parquet")).rename(folder / f"{k}.parquet")
+        schema = spark.read.parquet(str(folder)).schema
+        stream = live.late_frames(live.file_stream(spark, str(folder), schema, 1), "t", "1 minute", "1 minute")
+        live.write_batches(stream, lambda df, _: got.extend((r["window"]["start"].minute, r["n_frames"]) for r in df.collect()), str(tmp_path / "cp"), once=True).awaitTermination(120)
+    assert (0, 1) in got and (0, 2) not in got
