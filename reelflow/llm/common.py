@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 from bisect import bisect_left
@@ -24,6 +26,9 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Deletes the shuffle files of a query when it has ended. A public setting of Spark 4.1.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of a batch that goes to a Python worker, whatever the length of its rows (one row at least), and their number.
+_BATCH_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -86,18 +91,27 @@ def _owner(spark: SparkSession, outer: int) -> Scratch:
 def _staged(df: DataFrame, name: str, owner: Scratch) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}-{name}"
-    before = spark.conf.get(_CLEANUP, "false")
+    ours = {_CLEANUP: "true", _BATCH_BYTES: str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in ours}
     owner.paths.append(path)
-    spark.conf.set(_CLEANUP, "true")
     try:
+        for k, v in ours.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = (owner, path)
     return out
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python workers have ``BATCH_BYTES`` at most, unless it has a bound of its own."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -171,6 +185,22 @@ class Reach:
         return self.ends[i - 1] if i else -1
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives back what it has freed: idle workers share an executor's memory with those at work."""
+
+    @functools.wraps(run)
+    def run_lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return run_lean
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of whole rows with about ``most`` bytes of text each, and their texts as UTF-8 bytes (null: empty)."""
     for batch in batches:

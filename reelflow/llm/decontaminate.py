@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.common import discard, fresh, stage, text_slices
+from reelflow.llm.common import discard, fresh, lean, stage, text_slices
 
 WIDTH = 13
 #: A document is contaminated if at least one word of this many is hit.
@@ -174,7 +174,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes:
     for b, index in enumerate(_indexes(benchmark, width, block_bytes)):
         if b:
             df = stage(df, "marks")
-        df = df.mapInArrow(_marker(index(), df.columns.index(into)), df.schema)
+        df = df.mapInArrow(lean(_marker(index(), df.columns.index(into))), df.schema)
     return df
 
 
@@ -240,14 +240,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, spans_only: bool = False, width
         df = df.where(~(contaminated(leak) | (leak["longest"] >= width)))
     indexes = _indexes(benchmark, width, block_bytes)
     if len(indexes) == 1:
-        df = df.mapInArrow(_cutter(indexes[0](), df.columns.index(name)), df.schema)
+        df = df.mapInArrow(lean(_cutter(indexes[0](), df.columns.index(name))), df.schema)
     else:
         df = stage(df.withColumn(name, leak.withField("longest", F.lit(0).cast("long"))), "marked")
         left = -1
         while left:  # a cut can bring words of another block together
             before = df.agg(F.sum(F.octet_length("text"))).first()[0]
             for index in indexes:
-                done, df = df, stage(df.mapInArrow(_cutter(index(), df.columns.index(name)), df.schema), "cut")
+                done, df = df, stage(df.mapInArrow(lean(_cutter(index(), df.columns.index(name))), df.schema), "cut")
                 discard(done)
             left = (before or 0) - (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     out = df.select(*[F.col(f"`{c}`") for c in docs.columns], *([(leak["longest"] == -1).alias(flag)] if flag else []))

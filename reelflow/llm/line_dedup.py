@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelflow.llm.common import discard, fresh, stage, text_slices
+from reelflow.llm.common import discard, fresh, lean, stage, text_slices
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -55,7 +55,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["k", "doc_id"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(explode, "k binary, doc_id long")
+    return rows.mapInArrow(lean(explode), "k binary, doc_id long")
 
 
 def shared_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -148,4 +148,4 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
             yield pa.RecordBatch.from_arrays([*cols, made], names=[*docs_columns, counts])
 
     docs_columns = docs.columns
-    return source.mapInArrow(reassemble, out)
+    return source.mapInArrow(lean(reassemble), out)

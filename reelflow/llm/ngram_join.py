@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelflow.llm import partenum
-from reelflow.llm.common import discard, fresh, hand_on, scratch, small, stage, text_slices
+from reelflow.llm.common import discard, fresh, hand_on, lean, scratch, small, stage, text_slices
 from reelflow.llm.shingles import mix, shingle_sets
 
 #: Classes of a bucket up to which all its pairs are looked at: few at first, as what many texts share is
@@ -100,7 +100,7 @@ def describe(docs: DataFrame, clashes: Clashes) -> DataFrame:
             yield _batch(doc_id=rows.column(0), th=rows.column(1), n=sizes, low=low, cid=pa.array(cids, mask=sizes == 0), second=second, sketch=pa.array(sketches, pa.binary()))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, n long, low long, cid long, second long, sketch binary")
+    return rows.mapInArrow(lean(run), "doc_id long, th long, n long, low long, cid long, second long, sketch binary")
 
 
 def coarse_rows(docs: DataFrame, clashes: Clashes) -> DataFrame:
@@ -120,7 +120,7 @@ def coarse_rows(docs: DataFrame, clashes: Clashes) -> DataFrame:
             sig, own = partenum.signatures(partenum.select(h, sizes, who), sizes[who])
             yield _batch(sig=sig.view(np.int64), cid=cids[who][own])
 
-    return docs.select("text").where("text is not null").mapInArrow(run, "sig long, cid long")
+    return docs.select("text").where("text is not null").mapInArrow(lean(run), "sig long, cid long")
 
 
 def unresolved(hot: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def fine_rows(texts: DataFrame, half: bool) -> DataFrame:
             low = h < HALF if half else np.ones(len(h), bool)
             yield _batch(sig=h[low].view(np.int64), cid=own[low])
 
-    return texts.select("cid", "text").mapInArrow(run, "sig long, cid long")
+    return texts.select("cid", "text").mapInArrow(lean(run), "sig long, cid long")
 
 
 def poor_classes(classes: DataFrame, members: DataFrame, fine: DataFrame, emitted: str) -> DataFrame:
@@ -202,7 +202,7 @@ def bucketed(rows: DataFrame, most: int = BUCKET) -> DataFrame:
                 member[0] = False
             yield _batch(sig=s[member], a=c[member], b=pa.nulls(int(member.sum()), pa.int64()))
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(run, "sig long, a long, b long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(lean(run), "sig long, a long, b long")
 
 
 def sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     side = lambda k: classes.select(F.col("cid").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("n").alias(f"n_{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
-    return both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield _batch(a=rows.column(0).to_numpy()[ok], b=rows.column(1).to_numpy()[ok])
 
     side = lambda k: sets.select(F.col("cid").alias(k), F.col("set").alias(f"set_{k}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long").distinct()
     return stage(found, "edges")
 
 
@@ -258,7 +258,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield _batch(cid=rows.column(0), set=pa.array([h[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()))
 
     ids = small(stage(wanted.distinct(), "wanted"), FEW_IDS)
-    return texts.join(ids, "cid", "left_semi").select("cid", "text").mapInArrow(run, "cid long, set binary")
+    return texts.join(ids, "cid", "left_semi").select("cid", "text").mapInArrow(lean(run), "cid long, set binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def parities_of(texts: DataFrame) -> DataFrame:
             ends = np.cumsum(sizes)
             yield _batch(cid=rows.column(0), n=sizes, bits=pa.array([partenum.parity(h[e - n : e], int(n)) for e, n in zip(ends, sizes, strict=True)], pa.binary()))
 
-    return texts.select("cid", "text").mapInArrow(run, "cid long, n long, bits binary").groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    return texts.select("cid", "text").mapInArrow(lean(run), "cid long, n long, bits binary").groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -391,7 +391,7 @@ def compared(blocked: DataFrame, best: bool) -> DataFrame:
                 yield _batch(sig=np.array(again, np.int64), a=pa.nulls(len(again), pa.int64()), b=pa.nulls(len(again), pa.int64()))
 
     rows = blocked.select("sig", "i", "j", "at", "cid", "root", "n", "bits")
-    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "sig long, a long, b long")
+    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(lean(run), "sig long, a long, b long")
 
 
 def within_hot(members: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
