@@ -14,7 +14,7 @@
    nearest of another component in its bucket; then, where there were more, all between the components so far,
    by parity bits, in blocks of ``BLOCK`` rows that are spread over tasks. No pair is left out.
 5. Pairs that pass sketches or parities (lower bounds of the difference) are verified on the sets.
-6. Components come from alternating large and small stars over the verified links.
+6. Components come from alternating large and small stars over the verified links, or from the driver if they are few.
 
 Nothing of the size of the corpus reaches the driver. A set is held by 64-bit hashes, a class is told
 apart by 128 bits: where sets of one 64-bit class differ in a second hash, all but one take that as their class.
@@ -50,6 +50,10 @@ ROUNDS = 2
 BLOCK = 2048
 #: Ids that are broadcast at most (16 bytes each); beyond it, the join is left to Spark.
 FEW_IDS = 1 << 20
+#: Links up to which the driver finds the components (16 bytes each); beyond it, stars do.
+FEW_LINKS = 1 << 18
+#: Bytes of sketches or sets that are broadcast at most; beyond it, the join is left to Spark.
+FEW_BYTES = 16 << 20
 #: Parities that are broadcast at most; one has 16 KB at most and four to eight bits an element.
 FEW_PARITIES = 1 << 11
 #: Classes that a task remembers, not to emit a copy's signatures again.
@@ -205,8 +209,19 @@ def bucketed(rows: DataFrame, most: int = BUCKET) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(lean(run), "sig long, a long, b long")
 
 
+def _ends(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``rows`` (cid, ...) for either end, named x_a and x_b.
+
+    ``rows`` are broadcast if all their ``value`` together are ``FEW_BYTES`` at most.
+    """
+    size = rows.agg(F.sum(F.octet_length(value) + 16)).first()[0] or 0
+    near = F.broadcast(rows) if size <= FEW_BYTES else rows
+    side = lambda k: near.select(F.col("cid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in rows.columns if c != "cid"])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
 def sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their sketches do not rule out."""
+    """The distinct pairs (a, b) that their sketches do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -214,13 +229,12 @@ def sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             ok = np.array([partenum.may_match(*z) for z in zip(x, y, n, m, strict=True)], bool)
             yield _batch(a=np.array(a, np.int64)[ok], b=np.array(b, np.int64)[ok])
 
-    side = lambda k: classes.select(F.col("cid").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("n").alias(f"n_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+    both = _ends(stage(pairs.distinct(), "candidates"), classes.select("cid", "sketch", "n"), "sketch").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
     return both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 3/4 at least, staged."""
+    """Those of distinct pairs (a, b) whose sets have a Jaccard similarity of 3/4 at least, staged; a pair may come twice."""
     pairs = stage(pairs, "sifted")
     sets = stage(sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("cid"))), "sets")
 
@@ -236,9 +250,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     ok[i] = 7 * int((both[1:] == both[:-1]).sum()) >= 3 * (len(p) + len(q))
                 yield _batch(a=rows.column(0).to_numpy()[ok], b=rows.column(1).to_numpy()[ok])
 
-    side = lambda k: sets.select(F.col("cid").alias(k), F.col("set").alias(f"set_{k}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long").distinct()
-    return stage(found, "edges")
+    both = _ends(pairs, sets, "set").select("a", "b", "set_a", "set_b")
+    return stage(both.mapInArrow(lean(run), "a long, b long"), "edges")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -257,16 +270,37 @@ def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             ends = np.cumsum(sizes)
             yield _batch(cid=rows.column(0), set=pa.array([h[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary()))
 
-    ids = small(stage(wanted.distinct(), "wanted"), FEW_IDS)
+    if wanted.limit(FEW_IDS + 1).count() > FEW_IDS:
+        wanted = wanted.distinct()
+    ids = small(stage(wanted, "wanted"), FEW_IDS)
     return texts.join(ids, "cid", "left_semi").select("cid", "text").mapInArrow(lean(run), "cid long, set binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable from each) of the links u, v."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        for side in (root[a], root[b]):
+            np.minimum.at(root, side, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def components(edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(node, root) of the nodes of ``edges`` (a, b): root is the smallest node reachable.
 
-    Alternating large and small stars; each round is staged, so a lost executor costs one round.
+    Up to ``few`` links in the driver; else alternating large and small stars, of which each round is staged, so a
+    lost executor costs one round.
     """
     links = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    if links.count() <= few:
+        held = links.toArrow()
+        nodes, roots = _roots(held.column("u").to_numpy(), held.column("v").to_numpy())
+        return stage(edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": roots})), "roots")
     state = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -285,7 +319,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _with_roots(rows: DataFrame, key: str, edges: DataFrame) -> DataFrame:
-    roots = components(edges)
+    roots = small(components(edges), FEW_IDS)
     return rows.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
 
 
@@ -439,7 +473,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
             discard(rows, classes)
         coarse = stage(bucketed(coarse_rows(docs, clashes)), "coarse")
         hot = coarse.where("b is null").select("sig", F.col("a").alias("cid"))
-        first = stage(sifted(coarse.where("b is not null").select("a", "b").distinct(), classes), "pairs")
+        first = stage(sifted(coarse.where("b is not null").select("a", "b"), classes), "pairs")
         crowd = stage(unresolved(hot), "crowd")
         wanted = crowd.unionByName(first.select(F.explode(F.array("a", "b")).alias("cid"))).distinct()
         texts = stage(texts_of(docs, classes, wanted), "texts")
@@ -447,7 +481,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
         for emitted in ("low", "n"):
             own = texts.join(small(poor, FEW_IDS), "cid", "left_semi")
             fine = stage(bucketed(fine_rows(own, half=emitted == "low"), FINE_BUCKET), "fine")
-            pairs.append(stage(sifted(fine.where("b is not null").select("a", "b").distinct(), classes), "pairs"))
+            pairs.append(stage(sifted(fine.where("b is not null").select("a", "b"), classes), "pairs"))
             poor = stage(poor_classes(classes, poor, fine, emitted), "poor")
             discard(fine)
         edges = verified(pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct(), texts)

@@ -311,6 +311,28 @@ def test_components(spark):
     assert {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
 
 
+def test_few_links_need_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(64)] + [(90, 80), (80, -7)], "a long, b long")
+    want = {i: 0 for i in range(65)} | {90: -7, 80: -7, -7: -7}
+    spark.sparkContext.setJobGroup("few-links", "components")
+    got = {r["node"]: r["root"] for r in ngram_join.components(edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links"))
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert got == want and jobs <= 12
+    assert {r["node"]: r["root"] for r in ngram_join.components(edges, few=0).collect()} == want
+    assert ngram_join.components(edges.limit(0)).count() == 0
+
+
+def test_sides_of_pairs_are_the_same_however_they_are_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, bytes([i] * i), i) for i in range(9)], "cid long, set binary, n long")
+    pairs = spark.createDataFrame([(1, 2), (1, 8), (3, 4), (0, 7)], "a long, b long")
+    want = sorted((a, b, bytes([a] * a), a, bytes([b] * b), b) for a, b in ((1, 2), (1, 8), (3, 4), (0, 7)))
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(ngram_join, "FEW_BYTES", most)
+        both = ngram_join._ends(pairs, rows, "set").select("a", "b", "set_a", "n_a", "set_b", "n_b")
+        assert sorted((r[0], r[1], bytes(r[2]), r[3], bytes(r[4]), r[5]) for r in both.collect()) == want
+
+
 # --- fixity --------------------------------------------------------------------------------------
 
 
