@@ -172,9 +172,7 @@ def q21b_match_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT video_id, frame_idx, pts, 'seven' AS ask FROM frames WHERE frame_idx = 7
 UNION ALL SELECT f.video_id, frame_idx, pts, 'last but two' FROM frames f JOIN n USING (video_id) WHERE frame_idx = n - 3""")
 def q09_frame_at_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _frames(spark, sf_dir)
-    one = lambda i, name: access.frame_where(f, i).select("video_id", "frame_idx", "pts", F.lit(name).alias("ask"))
-    return one(7, "seven").unionByName(one(-3, "last but two"))
+    return access.frames_where(_frames(spark, sf_dir), {"seven": 7, "last but two": -3}).select("video_id", "frame_idx", "pts", "ask")
 
 
 @query(PACKETS_SQL + """, n AS (SELECT video_id, count(*) AS n FROM frames GROUP BY 1)
@@ -183,13 +181,9 @@ UNION ALL SELECT video_id, frame_idx, pts, frame_idx - 40, 'beyond' FROM frames
 UNION ALL SELECT f.video_id, frame_idx, pts, frame_idx - greatest(n - 10, 0), 'last' FROM frames f JOIN n USING (video_id) WHERE frame_idx >= n - 10
 UNION ALL SELECT f.video_id, frame_idx, pts, frame_idx, 'but last' FROM frames f JOIN n USING (video_id) WHERE frame_idx < n - 10""")
 def q10_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _frames(spark, sf_dir)
     asks = {"step": slice(5, 40, 2), "beyond": slice(40, 1000), "last": slice(-10, None), "but last": slice(None, -10), "empty": slice(10, 10)}
-    out = None
-    for name, s in asks.items():
-        part = access.slice_frames(f, FramePlan().sliced(s)).select("video_id", "frame_idx", "pts", "out_idx", F.lit(name).alias("ask"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    plans = {name: FramePlan().sliced(s) for name, s in asks.items()}
+    return access.slice_all(_frames(spark, sf_dir), plans).select("video_id", "frame_idx", "pts", "out_idx", "ask")
 
 
 @query(PACKETS_SQL + """ SELECT video_id, frame_idx, pts, (frame_idx - 15) // 2 AS out_idx FROM frames

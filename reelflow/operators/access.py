@@ -16,18 +16,40 @@ def _with_length(frames: DataFrame) -> DataFrame:
     return frames.withColumn("__n", F.max("frame_idx").over(Window.partitionBy("video_id")) + 1)
 
 
+def _measured(frames: DataFrame, *plans: FramePlan) -> tuple[DataFrame, Column]:
+    """``frames`` and their sequence's length, which is taken only if a bound counts from the end."""
+    if any(x is not None and x < 0 for plan in plans for s in plan.slices for x in s[:2]):
+        return _with_length(frames), F.col("__n")
+    return frames, F.lit((1 << 62) - 1)
+
+
+def _hit(plan: FramePlan, length: Column) -> tuple[Column, Column]:
+    """(whether the plan's slices keep a frame, its place among those kept)."""
+    first, count, step = plan.bounds(length)
+    at = F.col("frame_idx") - first
+    kept = (at >= 0) & (at % step == 0) & (F.expr("true") if not plan.slices else at < count * step)
+    return kept, F.floor(at / step).cast("long")
+
+
 def slice_frames(frames: DataFrame, plan: FramePlan) -> DataFrame:
     """``frames`` (video_id, frame_idx, ...) of the plan's slices, with out_idx; one filter, however many slices.
 
     Bounds that count from the end need a sequence's length; without them there is no window.
     """
-    needs_length = any(x is not None and x < 0 for s in plan.slices for x in s[:2])
-    rows = _with_length(frames) if needs_length else frames
-    length = F.col("__n") if needs_length else F.lit((1 << 62) - 1)
-    first, count, step = plan.bounds(length)
-    at = F.col("frame_idx") - first
-    out = rows.where((at >= 0) & (at % step == 0) & (F.expr("true") if not plan.slices else at < count * step))
-    return out.withColumn("out_idx", F.floor(at / step).cast("long")).drop("__n")
+    rows, length = _measured(frames, plan)
+    kept, out_idx = _hit(plan, length)
+    return rows.where(kept).withColumn("out_idx", out_idx).drop("__n")
+
+
+def slice_all(frames: DataFrame, plans: dict[str, FramePlan]) -> DataFrame:
+    """``frames`` of each plan's slices, with out_idx and ask, the plan's name: one index, however many plans.
+
+    A union of views would keep an index per view in one task, as all are partitioned by video.
+    """
+    rows, length = _measured(frames, *plans.values())
+    hits = [F.when(kept, F.struct(out_idx.alias("out_idx"), F.lit(name).alias("ask"))) for name, (kept, out_idx) in ((n, _hit(p, length)) for n, p in plans.items())]
+    each = rows.withColumn("__hit", F.explode(F.array(*hits))).where("__hit is not null")
+    return each.select(*frames.columns, "__hit.*")
 
 
 def view_lengths(frames: DataFrame, plan: FramePlan) -> DataFrame:
@@ -51,11 +73,21 @@ def frame_at(frames: DataFrame, index: int, plan: FramePlan | None = None) -> Da
 
 def frame_where(frames: DataFrame, index: int, plan: FramePlan | None = None) -> DataFrame:
     """As ``frame_at``, without a row for videos that have no such frame."""
+    return frames_where(frames, {"": index}, plan).drop("ask")
+
+
+def frames_where(frames: DataFrame, asks: dict[str, int], plan: FramePlan | None = None) -> DataFrame:
+    """As ``frame_where`` for each of ``asks``, with ask, its name: one index and no join, however many."""
     plan = plan or FramePlan()
-    n = view_lengths(frames, plan)
-    at = F.floor((F.col("n_frames") + index if index < 0 else F.lit(index)) / plan.repeat)
-    wanted = n.where(F.lit(index).between(-F.col("n_frames"), F.col("n_frames") - 1)).select("video_id", at.cast("long").alias("out_idx"))
-    return slice_frames(frames, plan).join(wanted, ["video_id", "out_idx"])
+    first, count, step = plan.bounds(F.col("__n"))
+    n = count * plan.repeat
+    hits = []
+    for name, index in asks.items():
+        at = F.floor((n + index if index < 0 else F.lit(index)) / plan.repeat).cast("long")
+        kept = F.lit(index).between(-n, n - 1) & (F.col("frame_idx") == first + at * step)
+        hits.append(F.when(kept, F.struct(at.alias("out_idx"), F.lit(name).alias("ask"))))
+    each = _with_length(frames).withColumn("__hit", F.explode(F.array(*hits))).where("__hit is not null")
+    return each.select("video_id", "__hit.out_idx", *[c for c in frames.columns if c != "video_id"], "__hit.ask")
 
 
 def repeat_each(frames: DataFrame, n: int) -> DataFrame:

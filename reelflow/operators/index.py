@@ -21,10 +21,14 @@ def stamp() -> Column:
 
 
 def display_index(packets: DataFrame) -> DataFrame:
-    """(video_id, frame_idx, pts): distinct presentation times from zero on, in order."""
-    own = packets.select("video_id", stamp().alias("pts")).where("pts >= 0").distinct()
-    rank = F.row_number().over(Window.partitionBy("video_id").orderBy("pts")) - 1
-    return own.select("video_id", rank.cast("long").alias("frame_idx"), "pts")
+    """(video_id, frame_idx, pts): distinct presentation times from zero on, in order.
+
+    Repeated times are found by the sort that the rank needs: no hash table of times in the task.
+    """
+    order = Window.partitionBy("video_id").orderBy("pts")
+    rows = packets.select("video_id", stamp().alias("pts")).where("pts >= 0")
+    rows = rows.select("video_id", (F.dense_rank().over(order) - 1).cast("long").alias("frame_idx"), "pts", F.lag("pts").over(order).alias("before"))
+    return rows.where("before is null or before <> pts").drop("before")
 
 
 def running_max(packets: DataFrame) -> DataFrame:

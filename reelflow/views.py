@@ -27,9 +27,10 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every 17th event has no pts but a dts; each video's first packet is one tick early.
     """
     own = Window.partitionBy("video_id")
+    order = own.orderBy("us", "event_id")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), "event_id", "event_type", "value", F.expr(micros("ts")).alias("us"))
-    rows = rows.withColumn("t", F.col("us") - F.min("us").over(own)).withColumn("t", F.when(F.col("t") == 0, -1).otherwise(F.col("t")))
-    rows = rows.withColumn("d", F.row_number().over(own.orderBy("t", "event_id")) - 1)
+    rows = rows.select("*", (F.col("us") - F.first("us", ignorenulls=True).over(order)).alias("t"), (F.row_number().over(order) - 1).alias("d"))
+    rows = rows.withColumn("t", F.when(F.col("t") == 0, -1).otherwise(F.col("t")))
     rows = rows.withColumn("pos", (F.row_number().over(own.orderBy(decode_key(F.col("d")), "d")) - 1).cast("long"))
     late = F.when(F.col("event_id") % 17 != 0, F.col("t"))
     kind = F.when(F.col("event_type") == "click", "audio").otherwise("video")

@@ -35,3 +35,14 @@ def test_slice_of_a_key_is_pruned_in_the_scan(spark, sf):
     plan = views.packets(spark, sf).where("video_id = 3")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,3)" in plan
     assert "props" not in plan
+
+
+def planned(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["q09_frame_at_index", "q10_slice"])
+def test_many_views_of_an_index_share_it(spark, sf, name):
+    plan = planned(catalogue.QUERIES[name](spark, sf))
+    assert plan.count("FileScan") == 1
+    assert not any(x in plan for x in ("Union", "Join", "HashAggregate"))

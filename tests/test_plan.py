@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reelflow.operators import access
+from reelflow.operators import access, index
 from reelflow.plans.errors import EncodeError
 from reelflow.plans.frame_plan import FramePlan
 from reelflow.plans.frames import Frames
@@ -129,6 +129,22 @@ def test_slices_without_negative_bounds_need_no_window(spark, packets):
     assert plan(chain([slice(3, 9), slice(1, None, 2)])).count("Window ") < plan(chain([slice(-5, None)])).count("Window ") + 1
 
 
+def test_many_slices_at_once_equal_each_alone(spark, packets):
+    frames = index.display_index(packets)
+    plans = {str(k): FramePlan().sliced(k) for k in (slice(1, 4, 2), slice(-2, None), slice(None, -1), slice(3, 3))} | {"all": FramePlan()}
+    want = sorted((*r, name) for name, p in plans.items() for r in access.slice_frames(frames, p).collect())
+    assert sorted(map(tuple, access.slice_all(frames, plans).collect())) == want
+
+
+def test_many_frames_at_once_equal_each_alone(spark, packets):
+    frames, plan = index.display_index(packets), FramePlan().sliced(slice(1, None)).repeat_each_frame(2)
+    rows = access.frames_where(frames, {str(k): k for k in (0, 3, -1, 99, -99)}, plan).collect()
+    lengths = {r["video_id"]: r["n_frames"] for r in access.view_lengths(frames, plan).collect()}
+    asked = {(r["video_id"], int(r["ask"])): (r["frame_idx"], r["out_idx"]) for r in rows}
+    want = {(v, k): ((k % n) // 2 + 1, (k % n) // 2) for v, n in lengths.items() for k in (0, 3, -1, 99, -99) if -n <= k < n}
+    assert want and asked == want and len(rows) == len(want)
+
+
 def test_device_views_refuse_what_a_device_lacks():
     p = FramePlan().on_device()
     for change in (lambda q: q.resized((4, 4)), lambda q: q.repeat_each_frame(2), lambda q: q.at_constant_rate(), lambda q: q.as_type("float32")):
