@@ -12,12 +12,14 @@ from pyspark.sql.window import Window
 def sessions(log: DataFrame) -> DataFrame:
     """``log`` with session (from 1; 0 before any start) and valid: appends and ends need an open session.
 
-    A start closes a session that is open; an end or quit closes its own.
+    A start closes a session that is open; an end or quit closes its own. One sort by writer and seq is all it takes.
     """
-    rows = log.withColumn("session", F.sum((F.col("kind") == "start").cast("int")).over(Window.partitionBy("writer_id").orderBy("seq")).cast("long"))
-    own = Window.partitionBy("writer_id", "session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    closed = F.coalesce(F.max(F.col("kind").isin("end", "quit").cast("int")).over(own), F.lit(0))
-    return rows.withColumn("valid", (F.col("kind") == "quit") | ((F.col("session") > 0) & (closed == 0)))
+    order = Window.partitionBy("writer_id").orderBy("seq")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("seq"))
+    session = F.sum((F.col("kind") == "start").cast("int")).over(upto).cast("long")
+    rows = log.select("*", session.alias("session"), (F.max(at("end", "quit")).over(before) > F.max(at("start")).over(upto)).alias("__closed"))
+    return rows.withColumn("valid", (F.col("kind") == "quit") | ((F.col("session") > 0) & ~F.coalesce("__closed", F.lit(False)))).drop("__closed")
 
 
 def summary(log: DataFrame) -> DataFrame:

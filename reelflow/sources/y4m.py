@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,22 +85,53 @@ def publish(path: str, data: bytes) -> None:
         raise EncodeError(path, 0, cause=e) from e
 
 
-def _encoded(frames: pd.DataFrame, fps: tuple[int, int], chroma: str, path: str | None) -> tuple[str | None, bytes | None, str]:
-    """(path, data, error) of one sequence; with a path, the file is published there and data is None."""
-    h, w = int(frames["height"].iloc[0]), int(frames["width"].iloc[0])
-    if frames["height"].nunique() > 1 or frames["width"].nunique() > 1:
+def _encoded(frames: list[tuple[int, int, bytes]], fps: tuple[int, int], chroma: str, path: str | None) -> tuple[str | None, bytes | None, str]:
+    """(path, data, error) of one sequence of (height, width, data); with a path, the file is published there and data is None."""
+    h, w = int(frames[0][0]), int(frames[0][1])
+    if any(len({f[i] for f in frames} - {None}) > 1 for i in (0, 1)):
         return None, None, "mixed shapes"
     if h % 2 or w % 2:
         return None, None, "odd size"
-    if any(len(x) != _PLANES[chroma](w, h) for x in frames["data"]):
+    if any(len(f[2]) != _PLANES[chroma](w, h) for f in frames):
         return None, None, "data does not fit the size"
-    data = encode([bytes(x) for x in frames["data"]], w, h, *fps, chroma)
+    data = encode([f[2] for f in frames], w, h, *fps, chroma)
     if path is None:
         return None, data, ""
     publish(path, data)
     return path, None, ""
 
 
+def _runs(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(the first ``n`` values, rows of the others) of each run of sorted rows; a run may go on in the next batch.
+
+    Far cheaper than a pandas group per sequence, of which there may be very many, each of a few frames.
+    """
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for key, run in groupby(rows, lambda r: r[:n]):
+        yield key, [r[n:] for r in run]
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows that end in (path, data, error) in batches of 1,024, or of 4 MB of data if that is less."""
+    held, size = [], 0
+    make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+    for row in rows:
+        held.append(row)
+        size += len(row[-2] or b"")
+        if len(held) == 1024 or size >= 4 << 20:
+            yield make()
+            held, size = [], 0
+    if held:
+        yield make()
+
+
+def _written(*keys: str) -> tuple[pa.Schema, str]:
+    """The columns of written sequences, for Arrow and for Spark."""
+    kinds = dict.fromkeys((*keys, "n_frames"), "long") | {"path": "string", "data": "binary", "error": "string"}
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(c, types[k]) for c, k in kinds.items()]), ", ".join(f"{c} {k}" for c, k in kinds.items())
+
+
 def encode_sessions(log: DataFrame, folder: str | None = None, chroma: str = "444") -> DataFrame:
     """One file per session of a writer: (writer_id, session, n_frames, path, data, error).
 
@@ -108,26 +141,29 @@ def encode_sessions(log: DataFrame, folder: str | None = None, chroma: str = "44
     A session must fit a task. With ``folder``, files are published there as ``<writer>_<session>.y4m``.
     """
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        start, frames = pdf[pdf["kind"] == "start"].iloc[0], pdf[pdf["kind"] == "append"]
-        writer, session = int(start["writer_id"]), int(start["session"])
-        if frames.empty:
-            return pd.DataFrame()
-        path, data, error = None, None, ""
-        if pd.isna(start["fps_num"]) or pd.isna(start["fps_den"]):
-            error = "start without fps"
-        elif frames["dtype"].nunique(dropna=False) > 1:
-            error = "mixed dtypes"
-        elif frames["dtype"].iloc[0] != "uint8":
-            error = f"cannot write {frames['dtype'].iloc[0]}"
-        else:
-            path, data, error = _encoded(frames, (int(start["fps_num"]), int(start["fps_den"])), chroma, folder and f"{folder}/{writer}_{session}.y4m")
-        return pd.DataFrame({"writer_id": [writer], "session": [session], "n_frames": [len(frames)], "path": [path], "data": [data], "error": [error]})
+    schema, ddl = _written("writer_id", "session")
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (writer, session), rows in _runs(batches, 2):
+            num, den = next(r[2:4] for r in rows if r[1] == "start")
+            frames = [r for r in rows if r[1] == "append"]
+            if not frames:
+                continue
+            path, data, error, kinds = None, None, "", {r[6] for r in frames}
+            if pd.isna(num) or pd.isna(den):
+                error = "start without fps"
+            elif len(kinds) > 1:
+                error = "mixed dtypes"
+            elif frames[0][6] != "uint8":
+                error = f"cannot write {frames[0][6]}"
+            else:
+                path, data, error = _encoded([(r[4], r[5], r[7]) for r in frames], (int(num), int(den)), chroma, folder and f"{folder}/{writer}_{session}.y4m")
+            yield writer, session, len(frames), path, data, error
 
     rows = sessions.sessions(log).where("session > 0 and valid and kind in ('start', 'append')")
     rows = rows.select(F.col("writer_id").cast("long").alias("writer_id"), "session", "seq", "kind", "fps_num", "fps_den", "height", "width", "dtype", "data")
-    return rows.groupBy("writer_id", "session").applyInPandas(write, "writer_id long, session long, n_frames long, path string, data binary, error string")
+    # The windows of sessions() leave a writer's rows in one task and in this order: no frame is shuffled or sorted again.
+    return rows.sortWithinPartitions("writer_id", "seq").mapInArrow(lambda batches: _batched(written(batches), schema), ddl)
 
 
 def raise_failed(written: DataFrame) -> None:
@@ -144,10 +180,11 @@ def encode_sequences(frames: DataFrame, folder: str | None = None, fps: tuple[in
     is the result. A sequence of mixed or odd sizes is an error row and leaves no file; one without frames has no row.
     """
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        seq = pdf["seq_id"].iloc[0]
-        path, data, error = _encoded(pdf.sort_values("frame_idx"), fps, chroma, folder and f"{folder}/{seq}.y4m")
-        return pd.DataFrame({"seq_id": [seq], "n_frames": [len(pdf)], "path": [path], "data": [data], "error": [error]})
+    schema, ddl = _written("seq_id")
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (seq,), rows in _runs(batches, 1):
+            yield seq, len(rows), *_encoded([r[1:] for r in rows], fps, chroma, folder and f"{folder}/{seq}.y4m")
 
     rows = frames.select(F.col("seq_id").cast("long").alias("seq_id"), "frame_idx", "height", "width", "data")
-    return rows.groupBy("seq_id").applyInPandas(write, "seq_id long, n_frames long, path string, data binary, error string")
+    return rows.repartition("seq_id").sortWithinPartitions("seq_id", "frame_idx").mapInArrow(lambda batches: _batched(written(batches), schema), ddl)

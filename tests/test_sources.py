@@ -211,6 +211,29 @@ def test_a_writer_and_its_files(spark, tmp_path):
     y4m.raise_failed(done.where("session = 1"))
 
 
+def test_sessions_are_encoded_in_one_pass_over_batches(spark):
+    key, rows, want = "spark.sql.execution.arrow.maxRecordsPerBatch", [], {}
+    for w in range(3):
+        kinds = ["append", "start", *["append"] * 7, "end", "append", "start", "append", "start", *["append"] * 4, "quit"]
+        session = 0
+        for seq, kind in enumerate(kinds):
+            session += kind == "start"
+            rows.append((w, seq, kind, 25, 1, 2, 2, "uint8", bytes([w, seq, 0, 0])))
+            if kind == "append" and seq not in (0, 10):
+                want.setdefault((w, session), []).append(bytes([w, seq, 0, 0]))
+    log = spark.createDataFrame(rows[::-1], "writer_id long, seq long, kind string, fps_num long, fps_den long, height int, width int, dtype string, data binary")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        done = y4m.encode_sessions(log, chroma="mono")
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        got = {(r["writer_id"], r["session"]): (r["n_frames"], bytes(r["data"])) for r in done.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {k: (len(v), y4m.encode(v, 2, 2, 25, 1, "mono")) for k, v in want.items()}
+    assert "InPandas" not in plan and plan.count("Sort [") == 1
+
+
 def test_a_writer_drains_discards_and_passes_errors_on(spark, tmp_path):
     from pyspark.sql.types import StructType
 
