@@ -59,7 +59,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of a supplier as packets; ship dates repeat, as times of packets may."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("video_id"), F.expr(micros("l_shipdate")).alias("us"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     order = Window.partitionBy("video_id").orderBy("us", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    pts = F.col("us") - F.min("us").over(Window.partitionBy("video_id"))
+    pts = F.col("us") - F.first("us", ignorenulls=True).over(Window.partitionBy("video_id").orderBy("us"))
     return rows.select("video_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), pts.alias("pts"), pts.alias("dts"))
 
 

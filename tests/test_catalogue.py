@@ -46,3 +46,8 @@ def test_many_views_of_an_index_share_it(spark, sf, name):
     plan = planned(catalogue.QUERIES[name](spark, sf))
     assert plan.count("FileScan") == 1
     assert not any(x in plan for x in ("Union", "Join", "HashAggregate"))
+
+
+def test_an_index_of_shipments_takes_two_sorts_and_no_hash_table(spark, sf):
+    plan = catalogue.QUERIES["q05b_frame_index_long"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and "HashAggregate" not in plan
